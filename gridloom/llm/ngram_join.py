@@ -238,7 +238,7 @@ def _link(num: int, den: int):
     return run
 
 
-def short_list_edges(sets: DataFrame, num: int, den: int) -> DataFrame:
+def short_list_edges(sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Edges (a, b) that join all classes that meet in a short inverted list. sets: (class, n, tokens)."""
     postings = sets.select("class", "n", F.explode("tokens").alias("token"))
     lengths = postings.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
@@ -246,7 +246,7 @@ def short_list_edges(sets: DataFrame, num: int, den: int) -> DataFrame:
     # lists of length 1 come first in the order and lead nowhere
     short = F.col("n") - F.ceil(F.col("n") * num / den).cast("long") + 1 - (F.col("n") - F.size("lists"))
     kept = lists.select("class", F.explode(F.slice("lists", F.lit(1), F.greatest(short, F.lit(0)).cast("int"))).alias("l")).select("class", F.col("l.token").alias("token"))
-    return star_edges(kept, "token", "class")
+    return star_edges(scratch.save(kept, "short"), "token", "class")
 
 
 def star_edges(rows: DataFrame, key: str, node: str) -> DataFrame:
@@ -277,7 +277,7 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     posted = all_rows.select("class", F.explode("signatures").alias("signature"))
     shared = posted.groupBy("signature").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("signature")
     shared = scratch.save(shared, "shared")
-    alive = scratch.save(posted.join(small_or_shuffled(shared), "signature", "left_semi").select("class").distinct(), "alive")
+    alive = scratch.save(posted.join(shared, "signature", "left_semi").select("class").distinct(), "alive")
 
     owners = classes.join(small_or_shuffled(alive), "class", "left_semi").select(F.col("class").alias("_class"), F.col("first").alias("_first"))
     owners = scratch.save(owners, "owners")
@@ -286,7 +286,7 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     sets = sets.join(small_or_shuffled(owners), (F.col("class") == F.col("_class")) & (F.col("doc_id") == F.col("_first")), "left_semi")
     sets = scratch.save(sets.select("class", "n", "tokens"), "sets").dropDuplicates(["class"]) if _repeats(docs, owners) else scratch.save(sets.select("class", "n", "tokens"), "sets")
 
-    links = scratch.save(links_in_clusters(sets, short_list_edges(sets, num, den), num, den, scratch), "links")
+    links = scratch.save(links_in_clusters(sets, short_list_edges(sets, num, den, scratch), num, den, scratch), "links")
     found = components(links, scratch, "join").select(F.col("node").alias("class"), "component")
     reached = classes.join(found, "class").groupBy("component").agg(F.min("first").alias("least"))
     least = scratch.save(found.join(reached, "component").select("class", "least"), "least")
