@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch
+from .common import Scratch, small_or_shuffled
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
@@ -128,45 +128,66 @@ def train(labelled: DataFrame, scratch: Scratch | None = None) -> Model:
     ratio = np.log(smooth[1] / smooth[1].sum() / (smooth[0] / smooth[0].sum()))
 
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sample = None
-    for label in (0, 1):
-        part = labelled.where(F.col("label") == label).select(order.alias("rank"), "label", "text").orderBy("rank", "text").limit(TRAIN_ROWS)
-        sample = part if sample is None else sample.union(part)
-    got = sample.mapInArrow(_featurise, "rank long, label int, features binary").collect()
+    # the sample is drawn from the narrow rows; only its texts (at most 2 * TRAIN_ROWS doc_ids, a fixed bound) are read again
+    narrow = labelled.select(order.alias("rank"), "label")
+    drawn = [narrow.where(F.col("label") == label).orderBy("rank").limit(TRAIN_ROWS) for label in (0, 1)]
+    drawn = F.broadcast(drawn[0].union(drawn[1]).distinct())
+    got = labelled.withColumn("rank", order).join(drawn, ["rank", "label"]).select("rank", "label", "text").mapInArrow(_featurise, "rank long, label int, features binary").collect()
     got.sort(key=lambda r: (r["label"], r["rank"], bytes(r["features"])))
     y = np.array([r["label"] for r in got], float)
     sets = [np.frombuffer(r["features"], "<u4") for r in got]
-    flat = np.concatenate(sets)
-    keep = np.bincount(flat, minlength=BUCKETS) >= MIN_DOCS
-    sets = [s[keep[s]] for s in sets]
-    used, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    lengths = np.array([len(s) for s in sets])
+    del got
+    seen = np.zeros(BUCKETS, np.int64)
+    for x in sets:
+        seen[x] += 1
+    used = np.flatnonzero(seen >= MIN_DOCS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    for i, x in enumerate(sets):
+        x = place[x]
+        sets[i] = x[x >= 0]
     share = rows / rows.sum()
     weight = np.where(y == 1, share[1] / max((y == 1).sum(), 1), share[0] / max((y == 0).sum(), 1))
-    w, b = _fit(flat, lengths, y, weight, ratio[used])
+    w, b = _fit(sets, y, weight, ratio[used])
     weights = np.zeros(BUCKETS, np.float32)
     weights[used] = w * ratio[used]
     return Model(weights, b)
 
 
-def _fit(flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, weight: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge by accelerated gradient descent; rows' features are ratio[flat]."""
-    n, rows, value = len(ratio), np.repeat(np.arange(len(y)), lengths), ratio[flat].astype(np.float32)
-    w, b = np.zeros(n), float(np.log(weight[y == 1].sum() / weight[y == 0].sum()))
-    # a bound of the curvature: a quarter of the greatest weighted eigenvalue, by power iteration
-    v = np.ones(n + 1) / np.sqrt(n + 1)
-    for _ in range(8):
-        p = np.bincount(rows, weights=value * v[flat], minlength=len(y)) + v[n]
-        v = np.append(np.bincount(flat, weights=value * (weight * p)[rows], minlength=n), (weight * p).sum())
-        top = float(np.linalg.norm(v))
+def _fit(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with a ridge by accelerated gradient descent; a row's features are ratio[its set]."""
+    n, blocks, first = len(ratio), [], 0
+    while first < len(sets):  # blocks of about a million entries bound the temporaries
+        last, size = first, 0
+        while last < len(sets) and (last == first or size + len(sets[last]) <= 1 << 20):
+            size += len(sets[last])
+            last += 1
+        blocks.append((first, last, np.concatenate(sets[first:last]), np.repeat(np.arange(last - first, dtype=np.int32), [len(x) for x in sets[first:last]])))
+        first = last
+    sets.clear()
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        scaled = v * ratio
+        return np.concatenate([np.bincount(at, weights=scaled[flat], minlength=b - a) for a, b, flat, at in blocks])
+
+    def backward(d: np.ndarray) -> np.ndarray:
+        total = np.zeros(n)
+        for a, b, flat, at in blocks:
+            total += np.bincount(flat, weights=d[a:b][at], minlength=n)
+        return total * ratio
+
+    w, b = np.zeros(n), float(np.log(max(weight[y == 1].sum(), 1e-9) / max(weight[y == 0].sum(), 1e-9)))
+    v, top = np.ones(n + 1) / np.sqrt(n + 1), 1.0
+    for _ in range(8):  # a bound of the curvature: a quarter of the greatest weighted eigenvalue, by power iteration
+        p = forward(v[:n]) + v[n]
+        v = np.append(backward(weight * p), (weight * p).sum())
+        top = max(float(np.linalg.norm(v)), 1e-12)
         v /= top
     rate = 1 / (0.3 * top + RIDGE / len(y))
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(STEPS):
-        z = np.bincount(rows, weights=value * vw[flat], minlength=len(y)) + vb
-        d = weight * (1 / (1 + np.exp(-z)) - y)
-        gw = np.bincount(flat, weights=value * d[rows], minlength=n) + RIDGE / len(y) * vw
-        nw, nb = vw - rate * gw, vb - rate * d.sum()
+        d = weight * (1 / (1 + np.exp(-np.clip(forward(vw) + vb, -500, 500))) - y)
+        nw, nb = vw - rate * (backward(d) + RIDGE / len(y) * vw), vb - rate * d.sum()
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
@@ -194,7 +215,8 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """(doc_id, text, label) of the rows that may train: crc32(doc_id as text) mod 3 is not 1."""
     known = labels.where(F.col(label).isin(0, 1)).where(~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label")).distinct()
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    # labels are a row of two numbers a document: sent to the tasks if counting shows them few, so texts aren't shuffled for them
+    return docs.select("doc_id", "text").join(small_or_shuffled(known, 1_000_000), "doc_id")
 
 
 def held_out(doc_id):
