@@ -161,7 +161,7 @@ def _segments(units: DataFrame, scratch: Scratch) -> DataFrame:
     each = each.select("doc_id", "uid", "i", F.col("s.key").alias("key"), F.col("s.at").alias("at"), (F.coalesce(F.get("segment_at", F.col("i") + 1), F.col("n_words")) - F.col("s.at")).alias("words"))
     shared = each.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top"), F.min(F.struct("doc_id", "at")).alias("first")).where("owner < top").select("key", "owner", F.col("first.at").alias("first_at"))
     shared = scratch.save(shared, "shared")
-    found = each.join(small_or_shuffled(shared), "key").withColumn("removed", ~((F.col("doc_id") == F.col("owner")) & (F.col("at") == F.col("first_at"))))
+    found = each.join(shared, "key").withColumn("removed", ~((F.col("doc_id") == F.col("owner")) & (F.col("at") == F.col("first_at"))))
     order = Window.partitionBy("doc_id", "uid").orderBy("i")
     found = found.withColumn("before", F.lag(F.struct("i", "removed")).over(order)).where(F.col("before").isNull() | (F.col("before.i") < F.col("i")))
     fresh = F.col("before").isNull() | (F.col("before.i") != F.col("i") - 1) | (F.col("before.removed") != F.col("removed"))
@@ -176,13 +176,13 @@ def _lines(docs: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
     banded = lines.select("class", F.explode(F.slice("bands", F.col("i") * BANDS + 1, F.lit(BANDS))).alias("band"))
     edges = scratch.save(star_edges(banded, "band", "class"), "edges")
     alive = scratch.save(edges.select(F.col("a").alias("class")).union(edges.select("b")).distinct(), "alive")
-    owners = lines.select("class", "doc_id", "at").join(small_or_shuffled(alive), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "at")).alias("o"))
+    owners = lines.select("class", "doc_id", "at").join(alive, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "at")).alias("o"))
     wanted = scratch.save(owners.groupBy(F.col("o.doc_id").alias("doc_id")).agg(F.collect_set("o.at").alias("wanted")), "wanted")
-    sets = docs.join(small_or_shuffled(wanted, 50_000), "doc_id").select("text", "wanted").mapInArrow(_line_sets, "class long, n long, tokens array<long>")
-    sets = scratch.save(sets.join(small_or_shuffled(alive), "class", "left_semi").dropDuplicates(["class"]), "sets")
+    sets = docs.join(small_or_shuffled(wanted, 200_000), "doc_id").select("text", "wanted").mapInArrow(_line_sets, "class long, n long, tokens array<long>")
+    sets = scratch.save(sets.join(alive, "class", "left_semi").dropDuplicates(["class"]), "sets")
     links = scratch.save(links_in_clusters(sets, edges, NUM, DEN, scratch), "links")
     found = scratch.save(components(links, scratch, "lines").select(F.col("node").alias("class"), "component"), "found")
-    placed = scratch.save(lines.select("doc_id", "class", "at", "words").join(small_or_shuffled(found), "class").dropDuplicates(["doc_id", "class", "at"]), "near")
+    placed = scratch.save(lines.select("doc_id", "class", "at", "words").join(found, "class").dropDuplicates(["doc_id", "class", "at"]), "near")
     first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("top")).where("first.doc_id < top")
     kept = placed.join(small_or_shuffled(first), "component")
     removed = ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
