@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,8 +39,14 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.release()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))

@@ -6,7 +6,8 @@ heap-merges the rest (T - L occurrences there are needed of a candidate) and dec
 
 Spread over a cluster, this runs in four steps, none of which can lose a link:
 1. Equal sets collapse to one class. Each class is cut into segments by hash; sets that link differ in at most H elements, so of
-   H + 1 segments one is equal. Classes no segment of which occurs in another class are done.
+   H + 1 + c segments at least 1 + c are equal. Classes of which fewer segments occur in any other class are done. (c is H / 4, so
+   passages that many documents share don't keep a document alive.)
 2. The inverted lists of the remaining classes are measured (document frequency, pre-aggregated). A class's short lists are its
    rarest |x| - T + 1; classes that meet in a short list fall into one cluster (connected components).
 3. Each cluster's sets meet once, in blocks of at most BLOCK_SHINGLES for large clusters (every pair of blocks meets), and the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import MASK, Scratch, components, mix, shingle_sets, small_or_shuffled
 
-SLACK = 2
+SLACK, SPARE = 2, 4
 BLOCK_SHINGLES = 2_000_000
 
 
@@ -44,7 +45,9 @@ class Cuts:
             self.low.append(max(self.low[-1] + 1, self.low[-1] * 14 // 10))
         self.low_at = np.array(self.low)
         high = self.low_at[1:] - 1
-        self.segments = high * (den - num) // num + 1 + SLACK  # H + 1, and SLACK for empty segments
+        differ = high * (den - num) // num  # H
+        self.spare = np.maximum(SLACK, differ // SPARE)
+        self.segments = differ + 1 + self.spare
 
     def of(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Own size class of each size (-1: none), and whether the next smaller class can hold a partner."""
@@ -57,18 +60,23 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, np.uint64)
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, cuts: Cuts) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row): equal segments of rows of one size class get equal signatures."""
+def signatures(values: np.ndarray, offsets: np.ndarray, cuts: Cuts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row's own size class and for the next smaller one: (signatures, their rows, how many a row must share with others).
+
+    Equal segments of rows in one size class get equal signatures. Empty segments have none, and lessen what must be shared; only
+    rows with more empty segments than the spare ones show these too.
+    """
     n = np.diff(offsets)
     own, lower = cuts.of(n)
     mixed = mix(values + np.uint64(0x2545F4914F6CDD1D))
-    out, rows = [], []
+    sides = []
     for use, shift in ((own >= 0, 0), (lower, 1)):
-        picked = np.flatnonzero(use)
+        picked, needs = np.flatnonzero(use), np.zeros(len(n), np.int32)
         if not len(picked):
+            sides.append((np.zeros(0, np.uint64), np.zeros(0, np.int64), needs))
             continue
         cls = own[picked] - shift
-        m = cuts.segments[cls]
+        m, spare = cuts.segments[cls], cuts.spare[cls]
         at = np.repeat(offsets[picked], n[picked]) + _ramp(n[picked])
         row = np.repeat(np.arange(len(picked)), n[picked])
         segment = ((values[at] >> np.uint64(32)) * m[row].astype(np.uint64)) >> np.uint64(32)  # rises with the value
@@ -76,15 +84,15 @@ def signatures(values: np.ndarray, offsets: np.ndarray, cuts: Cuts) -> tuple[np.
         new[1:] = (row[1:] != row[:-1]) | (segment[1:] != segment[:-1])
         first = np.flatnonzero(new)
         salt = mix(cls[row[first]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + segment[first])
-        out.append(mix(_sums(mixed[at], first) ^ salt))
-        rows.append(picked[row[first]])
-        # a pair shares a segment that isn't empty unless both have more than SLACK empty ones: those also show the empty ones
-        filled = np.bincount(row[first], minlength=len(picked))
-        for r in np.flatnonzero(m - filled > SLACK):
+        out, rows = [mix(_sums(mixed[at], first) ^ salt)], [picked[row[first]]]
+        empty = m - np.bincount(row[first], minlength=len(picked))
+        needs[picked] = np.where(empty > spare, 1 + spare, 1 + spare - empty)
+        for r in np.flatnonzero(empty > spare):
             missing = np.setdiff1d(np.arange(m[r], dtype=np.uint64), segment[first][row[first] == r])
             out.append(mix(mix(np.uint64(int(cls[r]) * 0x9E3779B97F4A7C15 & MASK) + missing) ^ np.uint64(0x632BE59BD9B4E019)))
             rows.append(np.full(len(missing), picked[r]))
-    return (np.concatenate(out), np.concatenate(rows)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        sides.append((np.concatenate(out), np.concatenate(rows), needs))
+    return sides
 
 
 def _ramp(n: np.ndarray) -> np.ndarray:
@@ -101,7 +109,7 @@ def set_digests(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-FEATURES = "n_shingles long, class long, signatures array<long>"
+FEATURES = "n_shingles long, class long, signatures array<long>, n_own int, need_own int, need_lower int"
 
 
 def _features(k: int, num: int, den: int):
@@ -111,11 +119,13 @@ def _features(k: int, num: int, den: int):
         cuts = Cuts(num, den)
         for batch in batches:
             for row, n, values, offsets in shingle_sets(batch.column("text"), k):
-                sig, rows = signatures(values, offsets, cuts)
-                order = np.argsort(rows, kind="stable")
+                (sig, rows, need), (low_sig, low_rows, low_need) = signatures(values, offsets, cuts)
+                n_own = pa.array(np.bincount(rows, minlength=n).astype(np.int32))
+                sig, rows = np.concatenate([sig, low_sig]), np.concatenate([rows, low_rows])
+                order = np.argsort(rows, kind="stable")  # a row's own side first
                 ends = np.searchsorted(rows[order], np.arange(n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), pa.array(np.diff(offsets)), pa.array(set_digests(values, offsets).view(np.int64)), lists], names=["doc_id", "n_shingles", "class", "signatures"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), pa.array(np.diff(offsets)), pa.array(set_digests(values, offsets).view(np.int64)), lists, n_own, pa.array(need), pa.array(low_need)], names=["doc_id", "n_shingles", "class", "signatures", "n_own", "need_own", "need_lower"])
 
     return run
 
@@ -272,14 +282,17 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     scratch = Scratch(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_rows = scratch.save(docs.mapInArrow(_features(k, num, den), f"doc_id long, {FEATURES}"), "features")
-    classes = scratch.save(all_rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first")), "classes")
+    classes = scratch.save(all_rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
 
-    posted = all_rows.select("class", F.explode("signatures").alias("signature"))
+    posted = all_rows.select("class", "n_own", "need_own", "need_lower", F.posexplode("signatures").alias("at", "signature"))
     shared = posted.groupBy("signature").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("signature")
     shared = scratch.save(shared, "shared")
-    alive = scratch.save(posted.join(shared, "signature", "left_semi").select("class").distinct(), "alive")
+    need = F.when(F.col("at") < F.col("n_own"), F.col("need_own")).otherwise(-F.col("need_lower"))  # its sign tells the side
+    met = posted.select("class", "signature", need.alias("need")).join(shared, "signature", "left_semi").groupBy("class", "need").agg(F.count("*").alias("hits"))
+    met = scratch.save(met, "met")
+    alive = scratch.save(met.join(classes, "class").where(F.col("hits") >= F.abs("need") * F.col("copies")).select("class").distinct(), "alive")
 
-    owners = classes.join(small_or_shuffled(alive), "class", "left_semi").select(F.col("class").alias("_class"), F.col("first").alias("_first"))
+    owners = classes.join(alive, "class", "left_semi").select(F.col("class").alias("_class"), F.col("first").alias("_first"))
     owners = scratch.save(owners, "owners")
     texts = docs.join(small_or_shuffled(owners.select(F.col("_first").alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets(k), "doc_id long, class long, n long, tokens array<long>")
