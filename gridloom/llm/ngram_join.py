@@ -130,6 +130,51 @@ def _features(k: int, num: int, den: int):
     return run
 
 
+#: Bits of the filter of shared signatures (16 MB), whatever the data; what passes it by chance is removed by the join after it.
+FILTER_BITS = 27
+
+
+def _filter(shared: DataFrame):
+    """A bitmap of the signatures' low bits, as a broadcast: words of it are combined in the cluster, not signatures gathered."""
+    bit = F.col("signature").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))
+    words = shared.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(one).alias("bits"))
+
+    def pack(pdf):  # a page is 4096 words
+        import pandas as pd
+
+        page = np.zeros(4096, "<u4")
+        page[pdf["word"].to_numpy() & 4095] = pdf["bits"].to_numpy()
+        return pd.DataFrame({"page": [int(pdf["word"].iloc[0]) >> 12], "words": [page.tobytes()]})
+
+    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    for r in words.groupBy(F.shiftright("word", 12).alias("p")).applyInPandas(pack, "page long, words binary").toLocalIterator():
+        bitmap[r["page"] * 4096 : (r["page"] + 1) * 4096] = np.frombuffer(r["words"], "<u4")
+    return shared.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _likely(shared):
+    """Rows (class, need, signature) of the signatures that the bitmap holds; need is negative for the lower side."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        bitmap = shared.value
+        for batch in batches:
+            lists = batch.column("signatures")
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            sig = lists.flatten().to_numpy(zero_copy_only=False)
+            low = sig & ((1 << FILTER_BITS) - 1)
+            keep = np.flatnonzero((bitmap[low >> 5] >> (low & 31).astype(np.uint32)) & np.uint32(1))
+            row = np.repeat(np.arange(len(n)), n)[keep]
+            at = keep - (np.cumsum(n) - n)[row]
+            own, up, down = (batch.column(c).to_numpy() for c in ("n_own", "need_own", "need_lower"))
+            need = np.where(at < own[row], up[row], -down[row]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("class").to_numpy()[row]), pa.array(need), pa.array(sig[keep])], names=["class", "need", "signature"])
+
+    return run
+
+
 def _sets(k: int):
     def run(batches):
         import pyarrow as pa
@@ -284,11 +329,11 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     all_rows = scratch.save(docs.mapInArrow(_features(k, num, den), f"doc_id long, {FEATURES}"), "features")
     classes = scratch.save(all_rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "classes")
 
-    posted = all_rows.select("class", "n_own", "need_own", "need_lower", F.posexplode("signatures").alias("at", "signature"))
+    posted = all_rows.select("class", F.explode("signatures").alias("signature"))
     shared = posted.groupBy("signature").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("signature")
     shared = scratch.save(shared, "shared")
-    need = F.when(F.col("at") < F.col("n_own"), F.col("need_own")).otherwise(-F.col("need_lower"))  # its sign tells the side
-    met = posted.select("class", "signature", need.alias("need")).join(shared, "signature", "left_semi").groupBy("class", "need").agg(F.count("*").alias("hits"))
+    likely = all_rows.select("class", "signatures", "n_own", "need_own", "need_lower").mapInArrow(_likely(_filter(shared)), "class long, need int, signature long")
+    met = likely.join(shared, "signature", "left_semi").groupBy("class", "need").agg(F.count("*").alias("hits"))
     met = scratch.save(met, "met")
     alive = scratch.save(met.join(classes, "class").where(F.col("hits") >= F.abs("need") * F.col("copies")).select("class").distinct(), "alive")
 

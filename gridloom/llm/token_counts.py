@@ -85,7 +85,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, cache: str | Non
     owners = narrow.groupBy("content").agg(F.min("doc_id").alias("_owner")).join(stored, "content", "left_anti").select(F.col("content").alias("_content"), "_owner")
     # one document stands for each distinct miss; doc_id spreads the rows, so a text that many documents share stays cheap
     misses = keyed.join(owners, F.col("doc_id").eqNullSafe(F.col("_owner")) & (F.col("content") == F.col("_content")), "left_semi")
-    fresh = misses.select("content", "text").mapInArrow(_encode(path), "content string, n_tokens long")
+    fresh = misses.select("content", "text").mapInArrow(_encode(path), "content string, n_tokens long").dropDuplicates(["content"])  # of rows repeated whole
     fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = _stored(spark, cache, version)
     joined = narrow.join(small_or_shuffled(counts), "content")
