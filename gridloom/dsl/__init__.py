@@ -254,7 +254,7 @@ def to_column(e: Expr, read: Callable[[Ref], Column], params: dict | None = None
         a, b = a.cast("double"), b.cast("double")
         return F.when(b != 0, F.try_divide(a, b)).when((a == 0) | F.isnan(a), F.lit(float("nan"))).otherwise(F.signum(a) * float("inf"))
     if e.op in ("<<", ">>"):
-        return (F.shiftleft if e.op == "<<" else F.shiftright)(a.cast("long"), e.right.value) if isinstance(e.right, Lit) else F.expr("1")
+        return F.call_function("shiftleft" if e.op == "<<" else "shiftright", a.cast("long"), b.cast("int"))
     return {
         "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "%": lambda: a % b, "&": lambda: a.cast("long").bitwiseAND(b.cast("long")),
         "|": lambda: a.cast("long").bitwiseOR(b.cast("long")), "^": lambda: a.cast("long").bitwiseXOR(b.cast("long")), "<": lambda: a < b,
