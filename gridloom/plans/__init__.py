@@ -129,7 +129,10 @@ def by_blocks(cells: DataFrame, axes: list[str], weights: dict[Offsets, float],
                 nxt[to] += w * box[of]
             box = np.where(mask, nxt, 0)
         inner = tuple(slice(halo, halo + block) for _ in axes)
-        at = np.nonzero(mask[inner])
+        own = mask[inner].copy()
+        for n, f in enumerate(first):  # an edge block may also hold wrapped copies beyond the box
+            own[tuple(slice(extents[n] - f, None) if m == n else slice(None) for m in range(rank))] = False
+        at = np.nonzero(own)
         return pd.DataFrame({**{a: at[n] + first[n] for n, a in enumerate(axes)}, name: box[inner][at]})
 
     schema = ", ".join([*(f"{a} long" for a in axes), f"{name} {kind}"])
