@@ -3,8 +3,8 @@
 Vectors are scaled to length 1 (so Euclidean order is cosine order) and hashed in TABLES tables by floor((a.v + b) / WIDTH),
 a normal, M projections each. A query visits, in each table, its own bucket and then perturbed ones in the order of their
 estimated success: the least sum of squared distances to the boundaries that a perturbation crosses. What a query meets in a
-bucket is reranked at once by the exact cosine of the original vectors in double precision, and each bucket sends on its K best;
-the best of all tables are merged.
+bucket is reranked at once by the exact cosine of the original vectors in double precision, and each task sends on each query's
+K best; the best of all tables are merged.
 
 M grows with the logarithm of the number of rows. The number of probes is fitted: on the SAMPLE rows of least hashed vec_id
 (the only rows used for fitting), the fewest probes that find TARGET of the true neighbours, or else a smaller M. Neighbours lie
@@ -175,8 +175,22 @@ def _search(k: int, kind: str):
 
         now, raw, ids, v, unit = None, [], [], None, None
         out: list[tuple[int, int, float]] = []
+        settled = 0
+
+        def settle() -> None:
+            """Keeps each query's k best of what this task has found."""
+            out.sort(key=lambda r: (r[0], -r[2], r[1]))
+            kept, n, last = [], 0, None
+            for r in out:
+                n = 0 if last is None or r[0] != last[0] else n
+                if n < k and (last is None or r[:2] != last[:2]):
+                    kept.append(r)
+                    n += 1
+                last = r
+            out[:] = kept
 
         def send():
+            settle()
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
@@ -206,8 +220,12 @@ def _search(k: int, kind: str):
                     rough = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ unit.T
                     for i in range(len(q)):
                         out += _best(q[i], int(all_ids[a + c + i]), rough[i], v, known, k)
-                    if len(out) > 20_000:
+                    if len(out) > settled + 50_000:
+                        settle()
+                        settled = len(out)
+                    if settled > 200_000:
                         yield send()
+                        settled = 0
         yield send()
 
     return run
