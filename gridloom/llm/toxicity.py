@@ -114,38 +114,41 @@ def train(labelled: DataFrame, scratch: Scratch | None = None) -> Model:
     parts = sums.withColumn("part", F.spark_partition_id() % 64).groupBy("block", "part").applyInPandas(_add, "block int, counts binary")
     blocks = parts.groupBy("block").applyInPandas(_add, "block int, counts binary").collect()
     counts, rows = np.zeros((2, BUCKETS)), np.zeros(2)
-    for r in blocks:
-        got = np.frombuffer(r["counts"], "<i8").astype(float)
-        if r["block"] < 0:
-            rows = got
+    while blocks:
+        block, got = blocks.pop()
+        got = np.frombuffer(got, "<i8")
+        if block < 0:
+            rows = got.astype(float)
         else:
-            counts[:, r["block"] * 4096 : (r["block"] + 1) * 4096] = got.reshape(2, -1)
+            counts[:, block * 4096 : (block + 1) * 4096] = got.reshape(2, -1)
     if not rows.all():
         share = float(rows[1] / rows.sum()) if rows.any() else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    smooth = counts + ALPHA
-    ratio = np.log(smooth[1] / smooth[1].sum() / (smooth[0] / smooth[0].sum()))
+    counts += ALPHA
+    ratio = np.log(counts[1] / counts[1].sum() / (counts[0] / counts[0].sum()))
+    del counts
 
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # the sample is drawn from the narrow rows; only its texts (at most 2 * TRAIN_ROWS doc_ids, a fixed bound) are read again
     narrow = labelled.select(order.alias("rank"), "label")
     drawn = [narrow.where(F.col("label") == label).orderBy("rank").limit(TRAIN_ROWS) for label in (0, 1)]
     drawn = F.broadcast(drawn[0].union(drawn[1]).distinct())
-    got = labelled.withColumn("rank", order).join(drawn, ["rank", "label"]).select("rank", "label", "text").mapInArrow(_featurise, "rank long, label int, features binary").collect()
-    got.sort(key=lambda r: (r["label"], r["rank"], bytes(r["features"])))
-    y = np.array([r["label"] for r in got], float)
-    sets = [np.frombuffer(r["features"], "<u4") for r in got]
-    del got
-    seen = np.zeros(BUCKETS, np.int64)
-    for x in sets:
-        seen[x] += 1
+    drawn = labelled.withColumn("rank", order).join(drawn, ["rank", "label"]).select("rank", "label", "text").mapInArrow(_featurise, "rank long, label int, features binary")
+    # a task's rows at a time: the driver holds the sample's features once
+    got = sorted(((r["label"], r["rank"], bytes(r["features"])) for r in drawn.toLocalIterator()), reverse=True)
+    y = np.array([r[0] for r in got[::-1]], float)
+    seen = np.zeros(BUCKETS, np.int32)
+    for r in got:
+        seen[np.frombuffer(r[2], "<u4")] += 1
     used = np.flatnonzero(seen >= MIN_DOCS)
     place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    for i, x in enumerate(sets):
-        x = place[x]
-        sets[i] = x[x >= 0]
+    sets = []
+    while got:
+        x = place[np.frombuffer(got.pop()[2], "<u4")]
+        sets.append(x[x >= 0])
+    del seen, place
     share = rows / rows.sum()
     weight = np.where(y == 1, share[1] / max((y == 1).sum(), 1), share[0] / max((y == 0).sum(), 1))
     w, b = _fit(sets, y, weight, ratio[used])
@@ -157,23 +160,23 @@ def train(labelled: DataFrame, scratch: Scratch | None = None) -> Model:
 def _fit(sets: list[np.ndarray], y: np.ndarray, weight: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression with a ridge by accelerated gradient descent; a row's features are ratio[its set]."""
     n, blocks, first = len(ratio), [], 0
-    while first < len(sets):  # blocks of about a million entries bound the temporaries
+    while first < len(sets):  # blocks of about 250 thousand entries bound the temporaries
         last, size = first, 0
-        while last < len(sets) and (last == first or size + len(sets[last]) <= 1 << 20):
+        while last < len(sets) and (last == first or size + len(sets[last]) <= 1 << 18):
             size += len(sets[last])
             last += 1
-        blocks.append((first, last, np.concatenate(sets[first:last]), np.repeat(np.arange(last - first, dtype=np.int32), [len(x) for x in sets[first:last]])))
+        blocks.append((first, last, np.concatenate(sets[first:last]), np.array([len(x) for x in sets[first:last]])))
+        sets[first:last] = [None] * (last - first)
         first = last
-    sets.clear()
 
     def forward(v: np.ndarray) -> np.ndarray:
         scaled = v * ratio
-        return np.concatenate([np.bincount(at, weights=scaled[flat], minlength=b - a) for a, b, flat, at in blocks])
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), sizes), weights=scaled[flat], minlength=b - a) for a, b, flat, sizes in blocks])
 
     def backward(d: np.ndarray) -> np.ndarray:
         total = np.zeros(n)
-        for a, b, flat, at in blocks:
-            total += np.bincount(flat, weights=d[a:b][at], minlength=n)
+        for a, b, flat, sizes in blocks:
+            total += np.bincount(flat, weights=np.repeat(d[a:b], sizes), minlength=n)
         return total * ratio
 
     w, b = np.zeros(n), float(np.log(max(weight[y == 1].sum(), 1e-9) / max(weight[y == 0].sum(), 1e-9)))
