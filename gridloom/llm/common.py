@@ -200,16 +200,63 @@ def shingle_sets(column: pa.Array, k: int):
 
 
 # ---------------------------------------------------------------- components
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 60) -> DataFrame:
+#: Edges that one task joins at a time: 8 MB as arrays.
+BLOCK_EDGES = 500_000
+
+
+def block_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of the edges (a, b) as stars: each node but the least one, and the least one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(nodes))
+    x, y = at[: len(a)], at[len(a) :]
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := root[root], root):
+            root = up
+        x, y = root[x], root[y]
+        open_ = x != y
+        x, y = x[open_], y[open_]
+    rest = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[rest], nodes[root[rest]]
+
+
+def _contract(batches):
+    """Stars (a, b) of each block of at most BLOCK_EDGES edges."""
+
+    def stars(held):
+        a, b = block_stars(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("a", "b")))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, BLOCK_EDGES - n))
+            at, n = at + held[-1].num_rows, n + held[-1].num_rows
+            if n == BLOCK_EDGES:
+                yield stars(held)
+                held, n = [], 0
+    if held:
+        yield stars(held)
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int = 60, block: int = BLOCK_EDGES) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) join to each node; nodes are long.
 
-    Alternates large-star and small-star (Kiveris et al.): each round is two grouped minima, keeps the number of edges and
-    takes O(log^2) rounds. Minima are pre-aggregated before their shuffle; each round's edges are written to the shared folder.
+    Blocks of at most `block` edges are joined within tasks first and leave a star for each of their components; if one block held
+    all edges, that is the answer. Else large-star and small-star (Kiveris et al.) join the stars of different blocks: each round is
+    two grouped minima, pre-aggregated before their shuffle, keeps the number of edges, and takes O(log^2) rounds. Each round's
+    edges are written to the shared folder.
     """
-    spark = edges.sparkSession
-    now = scratch.save(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), f"{name}0")
-    before = None
+    now, before = scratch.save(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"), f"{name}0"), None
     for i in range(1, rounds + 1):
+        n = now.count()
+        stars = now.coalesce(max(1, -(-n // block))).mapInArrow(_contract, "a long, b long")
+        if n <= min(block, BLOCK_EDGES):
+            now = scratch.save(stars, f"{name}{i}")
+            break
+        now, gone = scratch.save(stars, f"{name}{i}-stars"), f"{name}{i - 1}"
+        scratch.drop(gone)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").selectExpr("b a", "m b")  # every larger neighbour to the least one
@@ -217,12 +264,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", rounds: int
         small = large.join(low, "a").selectExpr("CASE WHEN b = m THEN a ELSE b END a", "m b").where("a <> b").distinct()
         now = scratch.save(small, f"{name}{i}")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{name}{i - 1}")
+        scratch.drop(f"{name}{i}-stars")
         if state == before:
             break
         before = state
     else:
         raise RuntimeError("components: no fixed point")
-    del spark
-    # at the fixed point each edge joins a node to its component's least node
+    # now each edge joins a node to its component's least node
     return now.selectExpr("a node", "b component").union(now.selectExpr("b node", "b component").distinct())

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, chat_format, decontaminate, mixing, ngram_join, pii, substring_dedup, token_counts, toxicity, warc
+from gridloom.llm import ann, chat_format, common, decontaminate, mixing, ngram_join, pii, substring_dedup, token_counts, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,3 +239,27 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     want = brute_components([(x.doc_id, x.text) for x in docs.collect()], 5, 80, 100)
     assert {x.doc_id for x in kept.collect()} == {i for i, (_, c) in want.items() if i == c}
+
+
+@pytest.mark.parametrize("block", [1, 40, 500_000])
+def test_components(spark, block):
+    r = random.Random(block)
+    edges = [(r.randint(-90, 90), r.randint(-90, 90)) for _ in range(70)] + [(500 - n, 499 - n) for n in range(60)] + [(7000, n) for n in range(6000, 6100)]
+    root = {i: i for e in edges for i in e}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    scratch = common.Scratch(spark, "components-test")
+    got = common.components(spark.createDataFrame(edges + edges[:9], "a long, b long").repartition(6), scratch, block=block).collect()
+    linked = {i for a, b in edges if a != b for i in (a, b)}
+    assert sorted(map(tuple, got)) == sorted((i, find(i)) for i in linked)
+    assert common.components(spark.createDataFrame([], "a long, b long"), scratch, "none", block=block).count() == 0
+    a, b = (np.array(x, np.int64) for x in zip(*edges, strict=True))
+    stars = dict(zip(*(x.tolist() for x in common.block_stars(a, b)), strict=True))
+    assert stars == {i: find(i) for i in root if find(i) != i}
