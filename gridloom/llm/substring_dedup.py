@@ -3,7 +3,8 @@
 Two kinds of paragraphs are compared over the whole corpus:
 - lines of at least MIN_LINE words, by MinHash of their K-word shingles in BANDS bands of ROWS rows: at similarity 0.8 a pair
   collides with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.998. Colliding lines form clusters, in which a T-occurrence search
-  verifies the exact Jaccard similarity (NUM / DEN or more); components of verified links are the clusters of removals;
+  verifies the exact Jaccard similarity (NUM / DEN or more); components of verified links are the clusters of removals. Equal
+  lines are one class, which is a component also without links where two documents hold it;
 - segments cut where a hash of the words is least among its neighbours, so a passage that many documents share is cut alike
   wherever it stands, also amid a line. A segment is one band of all its words: equal segments form a component.
 
@@ -181,8 +182,10 @@ def _lines(docs: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
     sets = docs.join(small_or_shuffled(wanted, 200_000), "doc_id").select("text", "wanted").mapInArrow(_line_sets, "class long, n long, tokens array<long>")
     sets = scratch.save(sets.join(alive, "class", "left_semi").dropDuplicates(["class"]), "sets")
     links = scratch.save(links_in_clusters(sets, edges, NUM, DEN, scratch), "links")
-    found = scratch.save(components(links, scratch, "lines").select(F.col("node").alias("class"), "component"), "found")
-    placed = scratch.save(lines.select("doc_id", "class", "at", "words").join(found, "class").dropDuplicates(["doc_id", "class", "at"]), "near")
+    found = scratch.save(components(links, scratch, "lines").select(F.col("node").alias("class"), "component"), "linked")
+    equal = lines.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("class", F.col("class").alias("component"))
+    found = scratch.save(found.union(equal.join(small_or_shuffled(found), "class", "left_anti")), "found")
+    placed = scratch.save(lines.select("doc_id", "class", "at", "words").join(small_or_shuffled(found), "class").dropDuplicates(["doc_id", "class", "at"]), "near")
     first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("top")).where("first.doc_id < top")
     kept = placed.join(small_or_shuffled(first), "component")
     removed = ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))

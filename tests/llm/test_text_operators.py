@@ -206,6 +206,24 @@ def test_repeated_passages(spark):
     assert 3 not in {x.doc_id for x in got}
 
 
+def test_equal_lines_amid_other_neighbours(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join(r.choice("abcdefgh") + r.choice("ijklmnop") + r.choice("qrstuvwxyz") for _ in range(n))
+    lines = {n: prose(n) for n in (19, 20, 22, 25, 30, 60)}
+    docs = [(d, [prose(r.randint(0, 40)), *(x for y in r.sample([*lines.values()], 3) for x in (y, prose(r.randint(1, 40)))), "own " * 20 if d == 3 else "", "own " * 20 if d == 3 else ""]) for d in range(12)]
+    places = {}
+    for d, parts in docs:
+        at = 0
+        for part in parts:
+            if (n := len(part.split())) >= 20:
+                places.setdefault(part.split()[0] + str(n) + part, []).append((d, at, n))
+            at += n
+    want = {(*x, min(found)[0], x != min(found)) for found in places.values() if len({d for d, _, _ in found}) > 1 for x in found}
+    rows = [(d, "\n".join(parts)) for d, parts in docs]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows + rows[:2], "doc_id long, text string")).where("kind = 'line'").collect()
+    assert {(x.doc_id, x.first_word, x.n_words, x.component_id, x.removed) for x in got} == want and len(got) == len(want) > 20
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     import sentencepiece
