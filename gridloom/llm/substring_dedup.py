@@ -55,7 +55,7 @@ def segment_starts(h: np.ndarray, word_rows: np.ndarray) -> np.ndarray:
     g[:-1] += h[1:] * np.uint64(0x9E3779B97F4A7C15)
     g = mix(g)
     new = np.ones(len(h), bool)
-    for d in range(1, REACH + 1):
+    for d in range(1, min(REACH, len(h) - 1) + 1):
         new[d:] &= g[d:] < g[:-d]
         new[: len(h) - d] &= g[: len(h) - d] < g[d:]
     first = np.ones(len(h), bool)

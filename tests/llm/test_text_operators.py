@@ -224,6 +224,19 @@ def test_equal_lines_amid_other_neighbours(spark):
     assert {(x.doc_id, x.first_word, x.n_words, x.component_id, x.removed) for x in got} == want and len(got) == len(want) > 20
 
 
+def test_segments_of_few_words(spark):
+    texts = ["one", "one two", "one two three", "one two three four", ""]
+    rows = [(2 * n + i, t) for n, t in enumerate(texts) for i in (0, 1)]
+    alone = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    assert substring_dedup.repeated_passages(alone).count() == 0
+    r = np.random.default_rng(9)
+    for n in range(1, 12):
+        h = r.integers(0, 1 << 63, n, np.uint64)
+        one = substring_dedup.segment_starts(h, np.zeros(n, int))
+        more = substring_dedup.segment_starts(np.concatenate([h, r.integers(0, 1 << 63, 9, np.uint64)]), np.repeat([0, 1], [n, 9]))
+        assert one[0] and more[0] and more[n] and (one[:-5] == more[: max(0, n - 5)]).all()
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     import sentencepiece
