@@ -2,7 +2,9 @@
 
 Documents and items are lower-cased words (`[^\\x20\\x09-\\x0D]+`); features are K-word shingles (an item with fewer words is one
 shingle). A shingle weighs its inverse document frequency over the items. For each item of n shingles, every window of n shingles
-of a document is fingerprinted: 64 bits, each the sign of a weighted vote of the window's shingles. Windows and items meet in
+of a document is fingerprinted: 64 bits, each the sign of a vote of the window's shingles by the square root of their weights: so
+the vectors' cosine, on which the Hamming distance depends, is at least 2J / (1 + J) at weighted Jaccard similarity J where no
+shingle repeats. Windows and items meet in
 RADIUS + 1 block tables of the fingerprint: two fingerprints within RADIUS differ in at most RADIUS bits, so they agree in a block
 whole, and none within the radius is missed. Candidates are verified by the exact weighted Jaccard similarity of the multisets'
 supports: kept if at least THRESHOLD.
@@ -72,7 +74,7 @@ class Items:
         self.known, self.weight = flat, np.log1p(len(self.sets) / np.maximum(df, 1))
         self.other = float(np.log1p(len(self.sets)))  # of shingles that no item has
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        self.prints = np.array([fingerprint((votes(x) * self.weigh(x)[:, None]).sum(axis=0)[None])[0] for x in self.sets], np.uint64)
+        self.prints = np.array([fingerprint((votes(x) * np.sqrt(self.weigh(x))[:, None]).sum(axis=0)[None])[0] for x in self.sets], np.uint64)
         self.support = [np.unique(x) for x in self.sets]
         # the sizes of the items that hold each known shingle: only windows of those sizes can be like such an item
         pairs = sorted({(int(h), int(n)) for x, n in zip(self.support, self.sizes, strict=True) for h in x})
@@ -113,7 +115,7 @@ class Items:
             for a, b in _runs(np.maximum(mine - n + 1, 0), np.minimum(mine, len(seq) - n)):  # runs of windows that hold such a shingle
                 part = seq[a : b + n]
                 total = np.zeros((len(part) + 1, BITS))
-                np.cumsum(votes(part) * self.weigh(part)[:, None], axis=0, out=total[1:])
+                np.cumsum(votes(part) * np.sqrt(self.weigh(part))[:, None], axis=0, out=total[1:])
                 self._verify(fingerprint(total[n : n + b - a + 1] - total[: b - a + 1]), part, n, a, size, threshold, best)
         return best
 

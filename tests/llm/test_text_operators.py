@@ -194,6 +194,48 @@ def test_decontamination_against_brute_force(spark):
     assert got == want and want
 
 
+def template_items():
+    """Items of common templates with rare ends, and documents that hold them with other ends, which leaves similarity 0.8 or more."""
+    word = lambda kind, n: f"{kind}{n}"
+    long, short = [word("t", n) for n in range(44)], [word("s", n) for n in range(24)]
+    items = [(n, [*long, word("end", n)] if n < 100 else [*short, word("end", n)] if n < 120 else [word(f"i{n}x", j) for j in range(30)]) for n in range(200)]
+    docs = [(n, [word(f"d{n}x", j) for j in range(20)] + [*(long, short)[n % 2], word("new", n), word("after", n)]) for n in range(20)]
+    return docs, items
+
+
+def brute_hits(docs, items):
+    grams = lambda w: [tuple(w[j : j + 5]) for j in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] * bool(w)
+    sets = {n: grams(w) for n, w in items}
+    df: dict = {}
+    for s in sets.values():
+        for h in set(s):
+            df[h] = df.get(h, 0) + 1
+    weight = lambda hs: sum(np.log1p(len(sets) / df.get(h, 1)) for h in hs)
+    want = {}
+    for n, w in docs:
+        seq = grams(w)
+        for i, s in sets.items():
+            m = min(len(s), len(seq))
+            found = [set(seq[a : a + m]) for a in range(len(seq) - m + 1) if set(s) & set(seq[a : a + m])]
+            best = max((weight(set(s) & x) / weight(set(s) | x) for x in found), default=0)
+            if best >= 0.8:
+                want[n, i] = best
+    return want
+
+
+def hits(spark, docs, items):
+    make = lambda rows, name: spark.createDataFrame([(n, " ".join(w)) for n, w in rows], f"{name} long, text string")
+    return {(x.doc_id, x.item_id): x.similarity for x in decontaminate.find_hits(make(docs, "doc_id"), make(items, "item_id")).collect()}
+
+
+def test_decontamination_of_templates(spark):
+    docs, items = template_items()
+    want = brute_hits(docs, items)
+    got = hits(spark, docs, items)
+    print("templates: found", len(got), "of", len(want))
+    assert got == pytest.approx(want) and len(want) > 1000
+
+
 def test_repeated_passages(spark):
     r = random.Random(6)
     prose = lambda n: " ".join(r.choice("abcdefgh") + r.choice("ijklmnop") + r.choice("qrstuvwxyz") for _ in range(n))
