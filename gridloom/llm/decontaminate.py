@@ -16,8 +16,10 @@ Defined results: null or empty texts hit nothing; items without words never matc
 repeated item_ids count as separate texts and the best similarity is kept; a null doc_id is kept as null. Ties in similarity go to
 the first window. Whole texts are read, whatever their length.
 
-Scale: documents are read once and never shuffled; items are sent to the tasks in blocks of at most ITEM_BLOCK rows, each block
-with a pass over the documents, so what is broadcast is bounded however many items there are.
+Scale: documents are never shuffled; items are sent to the tasks in blocks of at most ITEM_BLOCK rows, each block with a pass over
+the documents. Shingles are counted over all items in one job before, so results don't depend on the blocks. A shingle of one item
+weighs as much as one of none, so each pass gets the weights only of those that two items or more hold: 16 bytes for each of these,
+which is all that grows with the number of items in what is broadcast.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingles, word_slices
+from .common import mix, shingle_sets, shingles, word_slices
 
 K = 5
 THRESHOLD = 0.8
@@ -53,9 +55,12 @@ def blocks(radius: int) -> list[tuple[int, int]]:
 
 
 class Items:
-    """Benchmark items as shingle sets, weights, fingerprints and block tables."""
+    """A block of benchmark items as shingle sets, weights, fingerprints and block tables.
 
-    def __init__(self, ids: list, texts: list, radius: int = RADIUS, k: int = K):
+    counted: the shingles that several items of the whole benchmark hold, ascending, how many hold each, and the number of items.
+    """
+
+    def __init__(self, ids: list, texts: list, counted: tuple[np.ndarray, np.ndarray, int], radius: int = RADIUS, k: int = K):
         import pyarrow as pa
 
         self.k, self.radius, self.ids, self.sets = k, radius, [], []
@@ -67,12 +72,10 @@ class Items:
                     self.ids.append(ids[row + r])
                     self.sets.append(mine)
         # a sequence stays in order: fingerprints vote over all its shingles, similarity compares supports
-        flat = np.unique(np.concatenate([np.unique(s) for s in self.sets])) if self.sets else np.zeros(0, np.uint64)
-        df = np.zeros(len(flat))
-        for s in self.sets:
-            df[np.searchsorted(flat, np.unique(s))] += 1
-        self.known, self.weight = flat, np.log1p(len(self.sets) / np.maximum(df, 1))
-        self.other = float(np.log1p(len(self.sets)))  # of shingles that no item has
+        self.known = flat = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        self.common, df, n_items = counted
+        self.weight = np.log1p(n_items / df)
+        self.other = float(np.log1p(n_items))  # of shingles that one item has, or none
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         self.prints = np.array([fingerprint((votes(x) * np.sqrt(self.weigh(x))[:, None]).sum(axis=0)[None])[0] for x in self.sets], np.uint64)
         self.support = [np.unique(x) for x in self.sets]
@@ -86,8 +89,8 @@ class Items:
                 table.setdefault((code >> a) & ((1 << (b - a)) - 1), []).append(i)
 
     def weigh(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
-        return np.where(self.known[at] == h, self.weight[at], self.other) if len(self.known) else np.full(len(h), self.other)
+        at = np.minimum(np.searchsorted(self.common, h), max(0, len(self.common) - 1))
+        return np.where(self.common[at] == h, self.weight[at], self.other) if len(self.common) else np.full(len(h), self.other)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -163,6 +166,31 @@ def _scan(shared, threshold: float):
     return run
 
 
+def _count(k: int):
+    """Rows (shingle, items) of each batch of items; those of a null shingle count the items that have words."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for _, _, values, offsets in shingle_sets(batch.column("text"), k):
+                found, items = np.unique(values, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([*found.view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(items, np.count_nonzero(np.diff(offsets))))], names=["shingle", "items"])
+
+    return run
+
+
+def count_shingles(benchmark: DataFrame, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
+    """The shingles that several items hold, ascending, how many hold each, and the number of items that have words."""
+    rows = benchmark.select("text").mapInArrow(_count(k), "shingle long, items long").groupBy("shingle").agg(F.sum("items").alias("items"))
+    held = rows.where("shingle IS NULL OR items > 1").toArrow()
+    shingle, items = held.column("shingle"), held.column("items").to_numpy()
+    none = shingle.is_null().to_numpy()
+    values = shingle.drop_null().to_numpy().view(np.uint64)
+    order = np.argsort(values)
+    return values[order], items[~none][order], int(items[none].sum())
+
+
 HITS = "doc_id long, item_id long, similarity double, first_word long"
 
 
@@ -171,6 +199,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     spark = docs.sparkSession
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = spark.createDataFrame([], HITS)
+    counted = count_shingles(benchmark, k)
     # toLocalIterator holds a partition of items at a time; each block of items has its own pass over the documents
     block: list = []
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator()
@@ -184,7 +213,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
         else:
             ended = True
         if block:
-            items = Items([r["item_id"] for r in block], [r["text"] for r in block], radius, k)
+            items = Items([r["item_id"] for r in block], [r["text"] for r in block], counted, radius, k)
             found = found.union(ready.mapInArrow(_scan(spark.sparkContext.broadcast(items), threshold), HITS))
     best = F.max(F.struct("similarity", F.negative("first_word").alias("at"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), F.negative("best.at").alias("first_word"))

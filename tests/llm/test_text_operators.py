@@ -236,6 +236,14 @@ def test_decontamination_of_templates(spark):
     assert got == pytest.approx(want) and len(want) > 1000
 
 
+def test_decontamination_in_blocks_of_items(spark, monkeypatch):
+    docs, items = template_items()
+    random.Random(3).shuffle(items)
+    want = brute_hits(docs, items)
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 70)
+    assert hits(spark, docs, items) == pytest.approx(want)
+
+
 def test_repeated_passages(spark):
     r = random.Random(6)
     prose = lambda n: " ".join(r.choice("abcdefgh") + r.choice("ijklmnop") + r.choice("qrstuvwxyz") for _ in range(n))
