@@ -64,7 +64,8 @@ def signatures(values: np.ndarray, offsets: np.ndarray, cuts: Cuts) -> list[tupl
     """For each row's own size class and for the next smaller one: (signatures, their rows, how many a row must share with others).
 
     Equal segments of rows in one size class get equal signatures. Empty segments have none, and lessen what must be shared; only
-    rows with more empty segments than the spare ones show these too.
+    rows with more empty segments than the spare ones show these too. Such a row must share just one: with a partner that shows no
+    empty ones, what both leave empty isn't counted.
     """
     n = np.diff(offsets)
     own, lower = cuts.of(n)
@@ -86,7 +87,7 @@ def signatures(values: np.ndarray, offsets: np.ndarray, cuts: Cuts) -> list[tupl
         salt = mix(cls[row[first]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + segment[first])
         out, rows = [mix(_sums(mixed[at], first) ^ salt)], [picked[row[first]]]
         empty = m - np.bincount(row[first], minlength=len(picked))
-        needs[picked] = np.where(empty > spare, 1 + spare, 1 + spare - empty)
+        needs[picked] = np.maximum(1, 1 + spare - empty)
         for r in np.flatnonzero(empty > spare):
             missing = np.setdiff1d(np.arange(m[r], dtype=np.uint64), segment[first][row[first] == r])
             out.append(mix(mix(np.uint64(int(cls[r]) * 0x9E3779B97F4A7C15 & MASK) + missing) ^ np.uint64(0x632BE59BD9B4E019)))

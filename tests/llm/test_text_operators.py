@@ -64,6 +64,24 @@ def test_ngram_join(spark, k, num, den):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(rows, k, num, den)
 
 
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 80, 100)])
+def test_signatures_keep_linked_pairs(k, num, den):
+    cuts, r, seen, lost = ngram_join.Cuts(num, den), np.random.default_rng(k), 0, 0
+    for n in [4, 5, 6, 8, 10, 15, 20, 29] * 400:
+        a = r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+        new = int(r.integers(1, 3))
+        b = np.concatenate([a[int(r.integers(0, 2)) :], r.integers(0, 1 << 63, new, np.uint64) * np.uint64(2)])
+        both = len(np.intersect1d(a, b))
+        if den * both < num * len(np.union1d(a, b)):
+            continue
+        seen += 1
+        sides = ngram_join.signatures(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, n, n + len(b)]), cuts)
+        every = [np.concatenate([sig[rows == i] for sig, rows, _ in sides]) for i in (0, 1)]
+        for i in (0, 1):  # a row stays where one of its sides shares what it needs
+            lost += not any(len(sig[rows == i]) and np.isin(sig[rows == i], every[1 - i]).sum() >= needs[i] for sig, rows, needs in sides)
+    assert seen > 300 and lost == 0, (lost, seen)
+
+
 def test_blocks_of_a_large_cluster(spark):
     from gridloom.llm.common import Scratch
 
