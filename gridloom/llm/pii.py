@@ -87,7 +87,7 @@ _LOOSE = (
     ("phone", re.compile(r"(?<![0-9+(.-])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,5}\)?){1,4}(?![0-9.-])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{1,2}[0-9]{3,6}){2,4}(?![0-9])")),
 )
-_PREFILTER = re.compile(r"[0-9][\x20./_()\[\]-]{1,4}[0-9]|[\[({]\x20?[aA][tT]|\x20@\x20")
+_PREFILTER = re.compile(r"[0-9][\x20./_()\[\]-]{1,5}[0-9]|[\[({]\x20?[aA][tT]|\x20@\x20")
 _CUES = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write|reach|address)\b", re.I),
     "ip": re.compile(r"\b(?:ip|host|server|addr(?:ess)?|from|login)\b", re.I),

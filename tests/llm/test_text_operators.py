@@ -144,6 +144,22 @@ def test_added_spans_and_redaction():
     assert pii.redact("ab x@y.zz c", [("email", 3, 9)]) == "ab [EMAIL] c"
 
 
+def test_gate_lets_every_candidate_pass():
+    assert pii.candidates("from 10 [.] 20 [.] 30 [.] 40 on") == [("ip", 5, 28)]
+    r = random.Random(7)
+    seen = 0
+    for _ in range(20000):
+        kind = r.randrange(3)
+        sep = lambda: r.choice((" [.] ", ".", " . ", "[.]")) if kind == 0 else r.choice((") -(", ") (", "--", " ")) if kind == 1 else r.choice((" -", "_", "./", " "))  # noqa: E731, B023
+        text = "(" * (kind == 1) + "".join(f"{r.randint(1000, 9999) if kind == 2 else r.randint(10, 255)}{sep()}" for _ in range(r.randint(1, 4))) + "1234"[: 4 if kind else 2]
+        if r.random() < 0.2:
+            text = r.choice(("a.b [at] c [dot] d", "a @ b.c", "a (AT) b . c", "a{ at }b{ dot }c"))
+        if any(p.search(text) for _, p in pii._LOOSE):
+            seen += 1
+            assert pii._PREFILTER.search(text), text
+    assert seen > 5000
+
+
 def test_chat_events(spark):
     e = [(1, 1, 1, "delta", "user", "hi"), (1, 2, 2, "delta", "assistant", "wro"), (1, 3, 2, "delta", None, "ng"), (1, 4, 2, "regenerate", None, None), (1, 5, 2, "delta", None, "ri"), (1, 6, 2, "delta", None, "ght<|im_end|>"), (1, 7, 1, "edit", None, "<||hello"), (None, 1, 1, None, None, None)]
     log = spark.createDataFrame(e, "conv_id long, seq long, message long, kind string, role string, text string")
