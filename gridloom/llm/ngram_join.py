@@ -15,8 +15,8 @@ Spread over a cluster, this runs in four steps, none of which can lose a link:
 4. Components of the links give each document the smallest doc_id it reaches.
 
 Defined results: null and empty texts have no set and link with nothing; shorter texts than k words are one shingle; extra columns
-are ignored; rows that repeat a doc_id each get the row of their own text; a null doc_id is never the smallest of others. Texts are
-read whole. Equality of 64-bit hashes stands for equality of shingles, segments and classes.
+are ignored; rows that repeat a doc_id each get the row of their own text; a null doc_id is never the smallest of others, but its text
+links as any other. Texts are read whole. Equality of 64-bit hashes stands for equality of shingles, segments and classes.
 """
 
 from __future__ import annotations
@@ -341,9 +341,11 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     owners = classes.join(alive, "class", "left_semi").select(F.col("class").alias("_class"), F.col("first").alias("_first"))
     owners = scratch.save(owners, "owners")
     texts = docs.join(small_or_shuffled(owners.select(F.col("_first").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    nameless = not owners.where("_first IS NULL").isEmpty()  # classes of null doc_ids alone
+    texts = texts.unionByName(docs.where("doc_id IS NULL")) if nameless else texts
     sets = texts.mapInArrow(_sets(k), "doc_id long, class long, n long, tokens array<long>")
-    sets = sets.join(small_or_shuffled(owners), (F.col("class") == F.col("_class")) & (F.col("doc_id") == F.col("_first")), "left_semi")
-    sets = scratch.save(sets.select("class", "n", "tokens"), "sets").dropDuplicates(["class"]) if _repeats(docs, owners) else scratch.save(sets.select("class", "n", "tokens"), "sets")
+    sets = sets.join(small_or_shuffled(owners), (F.col("class") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    sets = scratch.save(sets.select("class", "n", "tokens"), "sets").dropDuplicates(["class"]) if nameless or _repeats(docs, owners) else scratch.save(sets.select("class", "n", "tokens"), "sets")
 
     links = scratch.save(links_in_clusters(sets, short_list_edges(sets, num, den, scratch), num, den, scratch), "links")
     found = components(links, scratch, "join").select(F.col("node").alias("class"), "component")

@@ -82,6 +82,14 @@ def test_signatures_keep_linked_pairs(k, num, den):
     assert seen > 300 and lost == 0, (lost, seen)
 
 
+def test_texts_of_null_doc_ids_link(spark):
+    words = [f"w{n}" for n in range(100)]
+    texts = [" ".join([*(f"z{i}" for i in range(n)), *words[n:]]) for n in (0, 6, 12)]  # neighbours are near copies, the ends aren't
+    rows = [(5, texts[0]), (None, texts[1]), (None, texts[1]), (9, texts[2]), (None, "quite another text " * 9)]
+    got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert sorted((x.doc_id or 0, x.component_id or 0) for x in got) == [(0, 0), (0, 5), (0, 5), (5, 5), (9, 5)]
+
+
 def test_blocks_of_a_large_cluster(spark):
     from gridloom.llm.common import Scratch
 
