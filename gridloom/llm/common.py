@@ -4,30 +4,46 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
 SLICE_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- scratch tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where the session names none."""
+    """The folder all executors share (spark.checkpoint.dir). A temporary one only where all tasks run in the driver's process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+RELEASE_SECONDS = 2.0
+_released = [-1e9]
+
+
 class Scratch:
     """Parquet tables under the shared folder; writing one cuts the lineage and survives lost executors."""
 
@@ -43,23 +59,43 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def release(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver next collects its garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, name: str) -> None:
+        """Lets Spark's cleaner delete the shuffle files of finished steps now, not when the driver next collects its garbage; steps
+        that end within RELEASE_SECONDS of the last time wait for the next."""
+        if time.monotonic() - _released[0] > RELEASE_SECONDS:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            _released[0] = time.monotonic()
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables that no step will read again."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
+#: Rows and bytes of values that a broadcast may hold; as a hash table of longs about 40 MB on each executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 48 << 20
 
-#: Rows of (long) keys that a broadcast may hold: about 40 MB as a hash table on each executor.
-BROADCAST_ROWS = 400_000
 
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, StructType):
+        return reduce(lambda a, b: a + b, [value_bytes(value[f.name], f.dataType) for f in kind.fields], F.lit(8))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType | BinaryType | StructType | ArrayType):
+            return F.aggregate(F.coalesce(value, F.array().cast(kind)), F.lit(24).cast("long"), lambda a, x: a + value_bytes(x, kind.elementType))
+        return F.greatest(F.size(value), F.lit(0)) * 8 + 24
+    return F.lit(8)
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if counting shows it small, else df as it is (a shuffle join, split by AQE where skewed)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if counting rows and bytes shows it small, else df as it is (a shuffle join, split by AQE where skewed)."""
+    each = reduce(lambda a, b: a + b, [value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(0).cast("long"))
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 # ---------------------------------------------------------------- words
@@ -74,33 +110,35 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_LOWER[65:91] += np.uint64(32)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables() -> list[np.ndarray]:
-    if not _powers:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(SLICE_BYTES + 1, base, np.uint64)
-            table[0] = 1
-            _powers.append(np.multiply.accumulate(table))
-    return _powers
+#: Letters are hashed by tables of random numbers, one for each of PLACES places in a word; upper-case A-Z as lower-case.
+PLACES = 64
+_TABLES = np.random.default_rng(0x67726964).integers(0, MASK, (PLACES, 256), np.uint64, endpoint=True)
+_TABLES[:, 65:91] = _TABLES[:, 97:123]
+_TABLES = _TABLES.ravel()
 
 
 def _hash_piece(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words in data (at most SLICE_BYTES); a word also ends where breaks says so."""
-    power, inverse = _power_tables()
+    """Hashes, starts and ends of the words in data (at most SLICE_BYTES); a word also ends where breaks says so.
+
+    A word's hash mixes the sum of its letters' table entries. A letter beyond the first PLACES has its entry mixed with the number
+    of its run of PLACES letters, so no sum cancels by the letters' places.
+    """
     space = _SPACE[data]
     first = ~space
     first[1:] &= space[:-1] | breaks[1:]
     last = ~space
     last[:-1] &= space[1:] | breaks[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    place = np.zeros(len(data), np.int32)
+    place[start] = start
+    place = np.arange(len(data), dtype=np.int32) - np.maximum.accumulate(place)
+    value = _TABLES[((place & (PLACES - 1)) << 8) | data]
+    if len(start) and int((end - start).max()) > PLACES:
+        far = np.flatnonzero(place >= PLACES)
+        value[far] = mix(value[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * power[: len(data)], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, end
+    np.cumsum(value, out=total[1:])
+    return mix(total[end] - total[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, end
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
