@@ -2,11 +2,14 @@
 
 Two kinds of paragraphs are compared over the whole corpus:
 - lines of at least MIN_LINE words, by MinHash of their K-word shingles in BANDS bands of ROWS rows: at similarity 0.8 a pair
-  collides with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.998. Colliding lines form clusters, in which a T-occurrence search
-  verifies the exact Jaccard similarity (NUM / DEN or more); components of verified links are the clusters of removals. Equal
-  lines are one class, which is a component also without links where two documents hold it;
-- segments cut where a hash of the words is least among its neighbours, so a passage that many documents share is cut alike
-  wherever it stands, also amid a line. A segment is one band of all its words: equal segments form a component.
+  collides with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.997. Equal lines are one class, and only classes are banded. Colliding
+  classes are verified by their exact Jaccard similarity (NUM / DEN or more), against stars first and then by T-occurrence search in
+  clusters; components of verified links are the clusters of removals. A class is a component also without links where two documents
+  hold it;
+- passages amid lines have no bounds that a MinHash could compare, so texts are also cut into segments where a hash of the words is
+  least among its neighbours: a passage that many documents share is cut alike wherever it stands. A segment's one band holds all its
+  words in order, so segments that collide are equal (similarity 1) and form a component; a chance collision of 64 bits would have to
+  come twice in a row to make a passage of short segments.
 
 The first occurrence of a component (least doc_id, then position) stays and the others are `removed`. Neighbouring segments of one
 fate are given as one passage; passages of fewer than MIN_PASSAGE words are left alone.
@@ -15,7 +18,8 @@ Result: (doc_id, kind, first_word, n_words, component_id, removed), word positio
 the least doc_id of the component (of a passage: the least among its segments').
 
 Defined results: only repetition across documents counts; rows that repeat doc_id and text count once, and a null doc_id takes no
-part; null and empty texts have no paragraphs; extra columns are ignored; whole texts are read, whatever their length.
+part; null and empty texts have no paragraphs; extra columns are ignored; an empty table gives no rows; whole texts are read, whatever
+their length.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, mix, shingles, small_or_shuffled, utf8, word_slices
-from .ngram_join import links_in_clusters, star_edges
+from .ngram_join import verified_links
 
 K, NUM, DEN = 5, 80, 100
-ROWS, BANDS = 4, 12
+ROWS, BANDS = 3, 8
 MIN_LINE = 20
 MIN_PASSAGE = 16
 REACH = 4
@@ -80,7 +84,7 @@ def _digests(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return mix(np.add.reduceat(mixed, starts) + sizes.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
 
 
-UNITS = "doc_id long, uid long, n_words int, segment_key array<long>, segment_at array<int>, line_key array<long>, line_at array<int>, line_words array<int>, bands array<long>"
+UNITS = "doc_id long, uid long, n_words int, segment_key array<long>, segment_at array<int>, line_key array<long>, line_at array<int>, line_words array<int>, bands array<array<long>>"
 
 
 def _units(batches):
@@ -106,16 +110,15 @@ def _units(batches):
             line_key = _digests(h, line, line_size)[long] if len(line) else np.zeros(0, np.uint64)
             line, line_size = line[long], line_size[long]
 
-            def lists(values, owners, each=1, n=n):
-                ends = np.searchsorted(owners, np.arange(n + 1)) * each
-                return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+            def lists(values, owners, n=n):
+                return pa.ListArray.from_arrays(pa.array(np.searchsorted(owners, np.arange(n + 1)).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
             seg_row, line_row = rows[seg] if len(seg) else seg, rows[line] if len(line) else line
             uid = mix(np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(1)))])[offsets[1:]] - np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(1)))])[offsets[:-1]])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(row, n), pa.array(uid.view(np.int64)), pa.array(words.astype(np.int32)), lists(seg_key.view(np.int64), seg_row), lists((seg - offsets[seg_row]).astype(np.int32), seg_row),
-                    lists(line_key.view(np.int64), line_row), lists((line - offsets[line_row]).astype(np.int32), line_row), lists(line_size.astype(np.int32), line_row), lists(bands.ravel().view(np.int64), line_row, BANDS),
+                    lists(line_key.view(np.int64), line_row), lists((line - offsets[line_row]).astype(np.int32), line_row), lists(line_size.astype(np.int32), line_row), lists(pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64))), line_row),
                 ],
                 names=[x.split(" ")[0] for x in UNITS.split(", ")],
             )
@@ -172,19 +175,27 @@ def _segments(units: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _lines(docs: DataFrame, units: DataFrame, scratch: Scratch) -> DataFrame:
-    each = units.select("doc_id", F.posexplode(F.arrays_zip(F.col("line_key").alias("key"), F.col("line_at").alias("at"), F.col("line_words").alias("words"))).alias("i", "l"), "bands")
-    lines = each.select("doc_id", F.col("l.key").alias("class"), F.col("l.at").alias("at"), F.col("l.words").alias("words"), "i", "bands")
-    banded = lines.select("class", F.explode(F.slice("bands", F.col("i") * BANDS + 1, F.lit(BANDS))).alias("band"))
-    edges = scratch.save(star_edges(banded, "band", "class"), "edges")
-    alive = scratch.save(edges.select(F.col("a").alias("class")).union(edges.select("b")).distinct(), "alive")
-    owners = lines.select("class", "doc_id", "at").join(alive, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "at")).alias("o"))
+    each = F.arrays_zip(F.col("line_key").alias("class"), F.col("line_at").alias("at"), F.col("line_words").alias("words"), F.col("bands").alias("bands"))
+    lines = units.select("doc_id", F.explode(each).alias("l")).select("doc_id", "l.*")
+    # copies collapse before they are banded: a row for each class, pre-aggregated
+    banding = [F.min(F.col("bands")[j]).alias(f"b{j}") for j in range(BANDS)]
+    classes = scratch.save(lines.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), *banding), "line-classes")
+    banded = classes.select("class", F.explode(F.array(*[f"b{j}" for j in range(BANDS)])).alias("band"))
+    held = banded.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("top")).where("low < top").select("band")
+    meets = scratch.save(banded.join(small_or_shuffled(scratch.save(held, "bands")), "band"), "line-meets")
+    alive = scratch.save(meets.select("class").distinct(), "alive")
+    owners = lines.select("class", "doc_id", "at").join(small_or_shuffled(alive), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "at")).alias("o"))
+    # a row for each document that owns a line, with the places of its lines
     wanted = scratch.save(owners.groupBy(F.col("o.doc_id").alias("doc_id")).agg(F.collect_set("o.at").alias("wanted")), "wanted")
-    sets = docs.join(small_or_shuffled(wanted, 200_000), "doc_id").select("text", "wanted").mapInArrow(_line_sets, "class long, n long, tokens array<long>")
-    sets = scratch.save(sets.join(alive, "class", "left_semi").dropDuplicates(["class"]), "sets")
-    links = scratch.save(links_in_clusters(sets, edges, NUM, DEN, scratch), "links")
+    texts = docs.join(small_or_shuffled(wanted.select("doc_id")), "doc_id", "left_semi").join(wanted, "doc_id")
+    sets = texts.select("text", "wanted").mapInArrow(_line_sets, "class long, n long, tokens array<long>")
+    sets = scratch.save(sets.join(small_or_shuffled(alive), "class", "left_semi").dropDuplicates(["class"]), "sets")
+    links = verified_links(sets, meets, "band", NUM, DEN, scratch)
     found = scratch.save(components(links, scratch, "lines").select(F.col("node").alias("class"), "component"), "linked")
-    equal = lines.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("class", F.col("class").alias("component"))
+    scratch.drop("bands", "line-meets", "alive", "wanted", "sets")
+    equal = classes.where("low < top").select("class", F.col("class").alias("component"))
     found = scratch.save(found.union(equal.join(small_or_shuffled(found), "class", "left_anti")), "found")
+    scratch.drop("line-classes", "linked")
     placed = scratch.save(lines.select("doc_id", "class", "at", "words").join(small_or_shuffled(found), "class").dropDuplicates(["doc_id", "class", "at"]), "near")
     first = placed.groupBy("component").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("top")).where("first.doc_id < top")
     kept = placed.join(small_or_shuffled(first), "component")
