@@ -6,14 +6,16 @@ estimated success: the least sum of squared distances to the boundaries that a p
 bucket is reranked at once by the exact cosine of the original vectors in double precision, and each task sends on each query's
 K best; the best of all tables are merged.
 
-M grows with the logarithm of the number of rows. The number of probes is fitted: on the SAMPLE rows of least hashed vec_id
-(the only rows used for fitting), the fewest probes that find TARGET of the true neighbours, or else a smaller M. Neighbours lie
-closer in the whole table than in a sample, so recall on the table is higher; tests measure it against brute force. Every row is
-indexed, and a query that found fewer than K rows is searched again against all rows, in blocks.
+M grows with the logarithm of the number of rows. The number of probes is fitted, alike at every size: on the SAMPLE rows of least
+hashed vec_id (the only rows used for fitting; all rows of a smaller table), the fewest probes that find TARGET of the true
+neighbours, or else a smaller M, down to 1. Neighbours lie closer in the whole table than in a sample, so recall on the table is
+higher; tests measure it against brute force. Every row is indexed, and a query that found fewer than K rows is searched again
+against all rows, in blocks. (Only if no M reaches TARGET within MAX_PROBES is every row put into one bucket.)
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors only meet vectors of
 equal length; ties go to the smaller vec_id; rows repeating a vec_id count once, with the vector that sorts first; null vec_ids
-take no part. Of equal vectors only the K + 1 smallest vec_ids are indexed: others can't be among any row's K nearest.
+take no part; other columns are ignored; an empty table gives no rows; a table of one row finds nothing. Vectors are scaled by powers
+of two before lengths and products are taken, so components of any finite size neither overflow nor vanish. Of equal vectors only the K + 1 smallest vec_ids are indexed: others can't be among any row's K nearest.
 
 Skew: buckets of over BLOCK rows are split by hashed vec_id into blocks of about that size, each visited by every query of the
 bucket, so a bucket that holds a third of all rows is spread over many tasks and no task holds more than one block at a time.
@@ -44,10 +46,20 @@ def projections(m: int, dim: int, table: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((dim, m)), rng.uniform(0, WIDTH, m)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their greatest component into [0.5, 1): exact, and free of overflow when squared."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
 def hashes(x: np.ndarray, m: int, table: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells, and distances to their lower boundaries, of the rows of x."""
     a, b = projections(m, x.shape[1], table)
-    at = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ a + b
+    at = unit(x) @ a + b
     cell = np.floor(at / WIDTH)
     return cell.astype(np.int64), at - cell * WIDTH
 
@@ -91,18 +103,19 @@ def probe_cells(cell: np.ndarray, distance: np.ndarray, probes: int) -> np.ndarr
 
 def exact_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Cosines of q with the rows of v, in double precision; equal vectors get equal scores wherever they lie."""
+    q, v = scaled(q), scaled(v)
     return (v * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(axis=1)))
 
 
 def fit(sample: np.ndarray, rows: int, k: int) -> tuple[int, int]:
     """(projections, probes) for a table of `rows` vectors."""
-    if rows <= len(sample) or len(sample) < 10 * k:
-        return 0, 1
+    if len(sample) < 2:
+        return 1, 1
     q = np.arange(0, len(sample), max(1, len(sample) // 100))
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    near = unit[q] @ unit.T
+    at = unit(sample)
+    near = at[q] @ at.T
     near[np.arange(len(q)), q] = -2
-    truth = np.argsort(-near, axis=1, kind="stable")[:, :k]
+    truth = np.argsort(-near, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
     for m in range(max(2, round(np.log2(rows) / 2 - 1)), 0, -1):
         found = np.full(truth.shape, MAX_PROBES)
         for table in range(TABLES):
@@ -173,7 +186,7 @@ def _search(k: int, kind: str):
     def run(batches):
         import pyarrow as pa
 
-        now, raw, ids, v, unit = None, [], [], None, None
+        now, raw, ids, v, length_1 = None, [], [], None, None
         out: list[tuple[int, int, float]] = []
         settled = 0
 
@@ -214,10 +227,10 @@ def _search(k: int, kind: str):
                     continue
                 if v is None:
                     v, known = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64), np.array(ids)
-                    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+                    length_1 = unit(v)
                 for c in range(0, b - a, 256):
                     q = np.frombuffer(b"".join(got[c : c + 256]), kind).reshape(-1, v.shape[1]).astype(np.float64)
-                    rough = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ unit.T
+                    rough = unit(q) @ length_1.T
                     for i in range(len(q)):
                         out += _best(q[i], int(all_ids[a + c + i]), rough[i], v, known, k)
                     if len(out) > settled + 50_000:
