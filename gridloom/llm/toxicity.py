@@ -4,13 +4,16 @@ A text is lower-cased, runs of white space become one space, and a space is put
 character n-grams of ORDERS, hashed to BUCKETS. Each feature's value is the log-count ratio of its smoothed document counts in
 toxic and other texts; a logistic regression on these values gives the weights. The score is the probability of label 1.
 
-Log-count ratios count every labelled training row, in one distributed pass. The regression is fitted on the driver on at most
-TRAIN_ROWS rows of each class (those with the least hash of doc_id), weighted back to the classes' true shares; features that
-fewer than MIN_DOCS training rows of the sample hold get no weight of their own. A score only reads the text.
+Log-count ratios count every labelled training row, in one distributed pass: each task emits the buckets it has seen, which are
+summed in the JVM; the pass has at most COUNT_TASKS tasks for each core, so what is shuffled grows with the cluster and not with the
+data. The regression is fitted on the driver on at most TRAIN_ROWS rows of each class (those with the least hash of doc_id; of a
+doc_id's rows of one label the text that sorts first), weighted back to the classes' true shares; features that fewer than MIN_DOCS
+training rows of the sample hold get no weight of their own. A score only reads the text.
 
 Defined results: null text is empty; empty texts get the score of the intercept; repeated rows and doc_ids each get a row;
 labels that are null or not 0 or 1 don't train; a doc_id with labels of both kinds trains as both; without training rows of both
-classes every score is the share of the class seen (0.5 with none). Texts are read whole, long ones in overlapping pieces.
+classes every score is the share of the class seen (0.5 with none); extra columns are carried, but one of the score's name is replaced; an
+empty table gives no rows. Texts are read whole, long ones in overlapping pieces.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from .common import Scratch, small_or_shuffled
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
 TRAIN_ROWS = 1000
+COUNT_TASKS = 3
 MIN_DOCS = 6
 ALPHA = 0.5
 RIDGE = 1.0
@@ -60,29 +64,20 @@ def _piece(text: str) -> np.ndarray:
 
 
 def _count(batches):
-    """Per task: how many toxic and other rows hold each bucket."""
+    """Rows (bucket, other, toxic) of one task: how many rows of either label hold each bucket seen; bucket -1 counts the rows."""
     import pyarrow as pa
 
-    counts = np.zeros((2, BUCKETS), np.int64)
-    rows = [0, 0]
+    counts = np.zeros((2, BUCKETS + 1), np.int64)
     for batch in batches:
         texts, labels = batch.column("text"), batch.column("label").to_pylist()
         for i, label in enumerate(labels):
             counts[label][ngrams(texts[i].as_py() or "")] += 1
-            rows[label] += 1
-    # blocks of 4096 buckets, so the sums are spread over many tasks; block -1 counts the rows
-    for at in range(0, BUCKETS, 4096) if sum(rows) else ():
-        part = counts[:, at : at + 4096]
-        yield pa.RecordBatch.from_pydict({"block": pa.array([at // 4096], pa.int32()), "counts": pa.array([part.astype("<i8").tobytes()], pa.binary())})
-    if sum(rows):
-        yield pa.RecordBatch.from_pydict({"block": pa.array([-1], pa.int32()), "counts": pa.array([np.array(rows, "<i8").tobytes()], pa.binary())})
-
-
-def _add(pdf):
-    import pandas as pd
-
-    total = sum(np.frombuffer(b, "<i8") for b in pdf["counts"])
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.asarray(total, "<i8").tobytes()]})
+            counts[label][BUCKETS] += 1
+    seen = np.flatnonzero(counts.any(axis=0))
+    for at in range(0, len(seen), 1 << 16):
+        part = seen[at : at + (1 << 16)]
+        bucket = np.where(part == BUCKETS, -1, part).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), *(pa.array(counts[label][part]) for label in (0, 1))], names=["bucket", "other", "toxic"])
 
 
 def _featurise(batches):
@@ -109,18 +104,13 @@ def train(labelled: DataFrame, scratch: Scratch | None = None) -> Model:
     """labelled: (doc_id, text, label), label 0 or 1."""
     scratch = scratch or Scratch(labelled.sparkSession, "toxicity")
     labelled = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    sums = labelled.select("text", "label").mapInArrow(_count, "block int, counts binary")
-    # a block gets a row from each task: these are summed in two steps, so no task reads more than a 64th of them at first
-    parts = sums.withColumn("part", F.spark_partition_id() % 64).groupBy("block", "part").applyInPandas(_add, "block int, counts binary")
-    blocks = parts.groupBy("block").applyInPandas(_add, "block int, counts binary").collect()
-    counts, rows = np.zeros((2, BUCKETS)), np.zeros(2)
-    while blocks:
-        block, got = blocks.pop()
-        got = np.frombuffer(got, "<i8")
-        if block < 0:
-            rows = got.astype(float)
-        else:
-            counts[:, block * 4096 : (block + 1) * 4096] = got.reshape(2, -1)
+    tasks = COUNT_TASKS * labelled.sparkSession.sparkContext.defaultParallelism
+    sums = labelled.select("text", "label").coalesce(tasks).mapInArrow(_count, "bucket int, other long, toxic long")
+    got = sums.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow()  # at most BUCKETS + 1 rows
+    counts = np.zeros((2, BUCKETS + 1))
+    counts[:, got.column("bucket").to_numpy()] = [got.column(c).to_numpy() for c in ("other", "toxic")]
+    counts, rows = counts[:, :-1], counts[:, -1].copy()  # bucket -1 is the last
+    del got
     if not rows.all():
         share = float(rows[1] / rows.sum()) if rows.any() else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
@@ -130,11 +120,12 @@ def train(labelled: DataFrame, scratch: Scratch | None = None) -> Model:
     del counts
 
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    # the sample is drawn from the narrow rows; only its texts (at most 2 * TRAIN_ROWS doc_ids, a fixed bound) are read again
+    # the sample is drawn from the narrow rows; only its texts (one for each of at most 2 * TRAIN_ROWS doc_ids and labels) are read again
     narrow = labelled.select(order.alias("rank"), "label")
-    drawn = [narrow.where(F.col("label") == label).orderBy("rank").limit(TRAIN_ROWS) for label in (0, 1)]
-    drawn = F.broadcast(drawn[0].union(drawn[1]).distinct())
-    drawn = labelled.withColumn("rank", order).join(drawn, ["rank", "label"]).select("rank", "label", "text").mapInArrow(_featurise, "rank long, label int, features binary")
+    drawn = [narrow.where(F.col("label") == label).distinct().orderBy("rank").limit(TRAIN_ROWS) for label in (0, 1)]
+    drawn = F.broadcast(drawn[0].union(drawn[1]))  # at most 2 * TRAIN_ROWS rows of two numbers
+    texts = labelled.withColumn("rank", order).join(drawn, ["rank", "label"]).groupBy("rank", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    drawn = texts.mapInArrow(_featurise, "rank long, label int, features binary")
     # a task's rows at a time: the driver holds the sample's features once
     got = sorted(((r["label"], r["rank"], bytes(r["features"])) for r in drawn.toLocalIterator()), reverse=True)
     y = np.array([r[0] for r in got[::-1]], float)
@@ -201,7 +192,8 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with the score of `text` in a double column (replaced if there is one). The model is BUCKETS floats, whatever the data."""
     weights, intercept = docs.sparkSession.sparkContext.broadcast(model.weights), model.intercept
     docs = docs.drop(column)
-    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns)]).alias("row"), "text")
+    schema = StructType([whole.schema["row"], StructField("score", DoubleType())])
 
     def run(batches):
         import pyarrow as pa
@@ -210,9 +202,9 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             scores = pa.array([own.score(texts[i].as_py() or "") for i in range(len(texts))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), scores], names=["row", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return whole.mapInArrow(run, schema).select(*[F.col(f"row.c{n}").alias(c) for n, c in enumerate(docs.columns)], F.col("score").alias(column))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
