@@ -11,8 +11,9 @@ Defined results: null html is an empty payload; rows that repeat the least page_
 record with a null page_id is always a response; null url is empty; extra columns are ignored; an empty table gives no bundle.
 A payload of any length is one record, in a frame of its own if longer than a frame.
 
-Recovery: a task writes each bundle under a name of its own attempt and moves it to its place when it is whole, so retried or
-speculative attempts never leave a half-written bundle; the index is written by Spark's committer and names only whole ones.
+Recovery: each attempt of a task writes bundles of names of its own, moved to their place when whole, so no attempt ever replaces a
+bundle of another and none is half-written; the index is written by Spark's committer and names only the bundles of the attempts that
+it committed. What a lost or late attempt leaves is named by no index row.
 """
 
 from __future__ import annotations
@@ -35,32 +36,40 @@ INDEX = "page_id long, record_id string, bundle string, frame int, frame_at long
 
 
 def classify(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, payload_digest, payload_bytes, refers_to): refers_to is set for revisits only."""
+    """(page_id, url, html, payload_digest, payload_bytes, refers_to, refers_url): the last two are set for revisits only."""
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    first = keyed.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = keyed.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("payload_digest", "_first")
     # pre-aggregated to a row for each repeated payload; a payload that a third of all pages share is split by AQE's skew join
-    return keyed.join(first, "payload_digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("_first"), F.col("_first"))).drop("_first")
+    return keyed.join(first, "payload_digest", "left").withColumn("_first", F.when(F.col("page_id") > F.col("_first.page_id"), F.col("_first"))).select("*", F.col("_first.page_id").alias("refers_to"), F.col("_first.url").alias("refers_url")).drop("_first")
 
 
 def _headers(fields: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> tuple[str, bytes]:
+def identifier(page_id: int | None, url: str, digest: str) -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}"
+
+
+def _uri(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> tuple[str, bytes]:
     """(identifier, bytes) of a record; the same row always gives the same record."""
-    rid = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}')}"
+    rid = identifier(page_id, url, digest)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{rid}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")), ("WARC-Payload-Digest", f"sha256:{digest}"),
+        ("WARC-Target-URI", _uri(url)), ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block))), ("X-Payload-Length", str(len(payload))),
     ]
     if page_id is not None:
         fields.append(("X-Page-Id", str(page_id)))
     if refers_to is not None:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(refers_to))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", str(refers_to)), ("WARC-Refers-To", f"<{identifier(refers_to, refers_url, digest)}>"), ("WARC-Refers-To-Target-URI", _uri(refers_url))]
     return rid, _headers(fields) + block + b"\r\n\r\n"
 
 
@@ -144,7 +153,7 @@ def write_bundles(classified: DataFrame, folder: str) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        task, number, bundle, written = TaskContext.get().partitionId(), 0, None, 0
+        task, attempt, number, bundle, written = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0, None, 0
         names = [x.split(" ")[0] for x in INDEX.split(", ")]
 
         def rows(done: list[list]):
@@ -153,12 +162,12 @@ def write_bundles(classified: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
         for batch in batches:
-            page, url, html, digest, refers = (batch.column(c) for c in ("page_id", "url", "html", "payload_digest", "refers_to"))
+            page, url, html, digest, refers, refers_url = (batch.column(c) for c in ("page_id", "url", "html", "payload_digest", "refers_to", "refers_url"))
             for i in range(len(page)):
                 if bundle is None:
-                    bundle, written = Bundle(folder, f"part-{task:06d}-{number:04d}.warc.zst"), 0
+                    bundle, written = Bundle(folder, f"part-{task:06d}-{attempt}-{number:04d}.warc.zst"), 0
                     number += 1
-                rid, data = record(page[i].as_py(), url[i].as_py(), html[i].as_py().encode(), digest[i].as_py(), refers[i].as_py())
+                rid, data = record(page[i].as_py(), url[i].as_py(), html[i].as_py().encode(), digest[i].as_py(), refers[i].as_py(), refers_url[i].as_py())
                 bundle.add(page[i].as_py(), rid, data)
                 written += len(data)
                 if written >= BUNDLE_BYTES:
@@ -167,14 +176,14 @@ def write_bundles(classified: DataFrame, folder: str) -> DataFrame:
         if bundle is not None:
             yield rows(bundle.close())
 
-    ready = classified.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "payload_digest", F.col("refers_to").cast("long").alias("refers_to"))
+    ready = classified.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "payload_digest", F.col("refers_to").cast("long").alias("refers_to"), "refers_url")
     return ready.mapInArrow(run, INDEX)
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string"
 
 
-def read_bundles(index: DataFrame, folder: str) -> DataFrame:
+def read_bundles(index: DataFrame) -> DataFrame:
     """A row for each record of the index, read from its frame: bytes and digest are taken from the stored payload (a revisit
     has those of the payload it refers to, from its headers)."""
 
