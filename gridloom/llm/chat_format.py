@@ -6,10 +6,12 @@ conversation with a template that escapes control strings, and `read_back` undoe
 
 Defined results: null text and role are empty; null kind is a delta; events of equal seq apply edits and regenerations first
 (of several, the greatest text wins), then deltas by text; messages order by their number, null first; a message of which
-nothing but regenerations remains is an empty text. A null conv_id is a conversation of its own. Empty input gives no rows.
+nothing but regenerations remains is an empty text. A null conv_id is a conversation of its own. Extra columns are ignored. Empty input
+gives no rows.
 
-Scale: events are folded to messages first, spread by (conv_id, message), so a hot conversation's deltas do not meet in one
-task; only finished messages are gathered by conversation, whose formatted text is one row by definition.
+Scale: a log is folded to messages by (conv_id, message), so a hot conversation's deltas are spread by message, and only finished
+messages are gathered by conversation, whose formatted text is one row by definition. Where the log is made from a table of turns, its
+numbering has dealt the rows by conv_id already, and Spark keeps that single exchange.
 """
 
 from __future__ import annotations

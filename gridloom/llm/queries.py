@@ -57,8 +57,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, folder = warc.archive(table(spark, sf_dir, "pages"))
-    return warc.read_bundles(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index, _ = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,11 @@ WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, (SELECT sum(n) FROM n) * sqrt(n) / (SELECT sum(sqrt(n)) FROM n) / n AS rate FROM n),
 steps AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
           FROM r, range(0, 400) t(k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)),
-drawn AS (SELECT doc_id, source, text, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+rows AS (SELECT doc_id, source, text, md5(coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(source, 'null') || '|' || coalesce(text, 'null')) AS d FROM documents),
+numbered AS (SELECT *, d || ':' || (row_number() OVER (PARTITION BY d) - 1)::VARCHAR AS key FROM rows),
+drawn AS (SELECT *, ('0x' || substr(md5('mix-1:' || key), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM numbered),
 counted AS (SELECT d.*, (SELECT count(*) FROM steps s WHERE s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u) AS copies FROM drawn d)
-SELECT doc_id, source, text, i::INTEGER AS copy,
-       ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || i::VARCHAR), 1, 15))::BIGINT AS shuffle_key
+SELECT doc_id, source, text, i::INTEGER AS copy, ('0x' || substr(md5('mix-1:' || key || ':' || i::VARCHAR), 1, 15))::BIGINT AS shuffle_key
 FROM counted, unnest(range(1, copies + 1)) AS u(i)""",
     "op6_chat_format": """
 WITH rows AS (
