@@ -1,8 +1,13 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, mixing to target weights.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of
-documents. ORACLE_SQL is None: a trained score, set similarity joins and fingerprints aren't SQL; tests/llm holds the stages against
-brute-force versions.
+documents. ORACLE_SQL is None: a trained score, set similarity joins and fingerprints aren't SQL; tests/llm holds each stage against
+a brute-force version.
+
+Defined results, for all stages: rows are judged one by one, never by doc_id alone, so rows of null doc_id and rows that repeat one take
+part like any other; null and empty texts stay (they score as empty, are near to nothing, hold no item and no personal data); ties in a
+group of near copies go to the least doc_id, then to the least digest of the text; extra columns, whatever their names, are carried
+along (the last stage adds `copy` and `shuffle_key` and replaces columns of these names); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, mixing, ngram_join, pii, toxicity
-from gridloom.llm.common import Scratch, small_or_shuffled
+from gridloom.llm.common import Scratch, fresh
 
 TOXIC_FROM = 0.7
 ORACLE_SQL = None
@@ -20,31 +25,24 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below TOXIC_FROM; trained on the labelled rows of docs that aren't held out."""
     model = toxicity.train(toxicity.labelled_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+    score = fresh(docs, "toxicity")
+    return toxicity.score(docs, model, score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, Jaccard 0.8): the one of least doc_id."""
-    found = ngram_join.join_components(docs, 5, 80, 100).where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    gone = Scratch(spark, "near-duplicates").save(found, "gone")
-    return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns) if _repeats(docs) else docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty()
+    return ngram_join.one_of_each_group(docs, 5, 80, 100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window is like a benchmark item."""
-    hits = decontaminate.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    gone = Scratch(spark, "contaminated").save(hits, "gone")
-    return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.without_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data in its text replaced by [EMAIL], [IP], [CARD] or [PHONE] and n_chars counted anew."""
     redacted = pii.redact_documents(docs)
-    return redacted.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else redacted
+    return redacted.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns]) if "n_chars" in docs.columns else redacted
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
