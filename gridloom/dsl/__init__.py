@@ -31,6 +31,7 @@ class Expr:
     def __lshift__(self, o): return Bin("<<", self, lift(o))
     def __rshift__(self, o): return Bin(">>", self, lift(o))
     def __neg__(self): return Un("-", self)
+    def __pos__(self): return self
     def __invert__(self): return Un("~", self)
     def __lt__(self, o): return Bin("<", self, lift(o))
     def __le__(self, o): return Bin("<=", self, lift(o))
@@ -124,8 +125,7 @@ class Ref(Expr):
     at: tuple[Index, ...]
 
     def assign(self, value) -> Grid:
-        if any(i.offset for i in self.at):
-            raise ValueError("a grid is assigned at its own cell, without offsets")
+        """Gives the grid its value at its own cell; offsets on the left say nothing, as every cell is computed alike."""
         self.grid.value = lift(value)
         return self.grid
 
@@ -191,7 +191,9 @@ def constant(text: str, params: dict[str, float]) -> float | int:
 
 
 def linear(e: Expr, params: dict) -> dict[tuple[tuple[int, int], ...], float] | None:
-    """{offsets: weight} if e is a weighted sum of reads of one grid, else None."""
+    """{offsets: weight} if e is a weighted sum of reads of one grid, else None: sums over several grids have no single set of weights."""
+    if len({(r.grid.name, r.grid.rank) for r in reads(e)}) > 1:
+        return None
     if isinstance(e, Ref):
         return {e.offsets: 1}
     if isinstance(e, Un) and e.op == "-" and (a := linear(e.arg, params)) is not None:
@@ -250,7 +252,8 @@ def to_column(e: Expr, read: Callable[[Ref], Column], params: dict | None = None
     a, b = number(e.left), number(e.right)
     if e.op == "/":
         if c_int_division and isinstance(e.left, Lit) and isinstance(e.right, Lit) and isinstance(e.left.value, int) and isinstance(e.right.value, int):
-            return F.lit(int(e.left.value / e.right.value))
+            if e.right.value:  # towards 0, as in C; nothing is folded where C leaves the result open
+                return F.lit(abs(e.left.value) // abs(e.right.value) * (1 if (e.left.value < 0) == (e.right.value < 0) else -1))
         a, b = a.cast("double"), b.cast("double")
         return F.when(b != 0, F.try_divide(a, b)).when((a == 0) | F.isnan(a), F.lit(float("nan"))).otherwise(F.signum(a) * float("inf"))
     if e.op in ("<<", ">>"):

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 from . import operators as op
 from . import stencils as st
-from .dsl import Func, Grid, If, linear, reads, to_sql
+from .dsl import Func, Grid, If, Lit, linear, reads, to_sql
 from .functions import direction_mask, direction_text, is_subset, morton, morton_axis, morton_set, negate, symmetric_difference
-from .plans import apply, by_blocks, by_join, by_scatter, by_window
+from .plans import apply, by_blocks, by_gather, by_join, by_scatter, by_window
 from .sources import cells, from_key, random_cells
 from .streaming import iterate, iterate_deep, shrinking
 
 A3, A4 = ["i", "j", "k"], ["i", "j", "k", "l"]
 CENTS = "CAST(ROUND(value*100) AS BIGINT)"
-G3_SQL = f"g AS (SELECT event_id%16 i, (event_id//16)%16 j, event_id//256 k, {CENTS} v FROM events WHERE event_id//256 < (SELECT count(*)//256 FROM events))"
-G4_SQL = f"g AS (SELECT event_id%8 i, (event_id//8)%8 j, (event_id//64)%8 k, event_id//512 l, {CENTS} v FROM events WHERE event_id//512 < (SELECT count(*)//512 FROM events))"
+#: Events as cells; the last plane is ragged, and what it lacks lies outside the grid.
+G3_SQL = f"g AS (SELECT event_id%16 i, (event_id//16)%16 j, event_id//256 k, {CENTS} v FROM events)"
+G4_SQL = f"g AS (SELECT event_id%8 i, (event_id//8)%8 j, (event_id//64)%8 k, event_id//512 l, {CENTS} v FROM events)"
 COEFF = {"coeff": [5, 1, 2, 3, 4, 6, 7], "shift": 25000}
 
 
@@ -34,8 +35,8 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def planes(spark: SparkSession, d: str, plane: int = 256) -> int:
-    """The full planes of events: its row count is in the files' footers."""
-    return table(spark, d, "events").count() // plane
+    """The planes of events, the ragged one too: its row count is in the files' footers."""
+    return -(-table(spark, d, "events").count() // plane)
 
 
 QUERIES: dict = {}
@@ -106,14 +107,24 @@ G1_SQL = "g AS (SELECT o_orderkey i, CAST(round(o_totalprice * 100) AS BIGINT) v
 def _embeddings(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("j"), F.posexplode("embedding").alias("i", "x"))
     grid = e.select(F.col("i").cast("long").alias("i"), "j", F.round(F.col("x").cast("double") * 1000000).cast("long").alias("v"))
-    return by_window(grid, ["i", "j"], {"out": st.star(2, [4, 1])}).withColumn("out", F.col("out").cast("long"))
+    return by_gather(grid, ["i", "j"], {"out": st.star(2, [4, 1])}).withColumn("out", F.col("out").cast("long"))
 
 
 @query("stencil_1d_orders", offsets_sql({(): 2, ((0, 1),): 1, ((0, -1),): 1}, ["i"], G1_SQL))
 def _orders(s, d):
-    # one axis has no other to be dealt by: cells go to blocks, so no task holds the whole axis
+    # one axis has no other to be dealt by: the gather plan deals by cell, so no task holds the axis
     grid = table(s, d, "orders").select(F.col("o_orderkey").alias("i"), F.round(F.col("o_totalprice") * 100).cast("long").alias("v"))
-    return by_scatter(grid, ["i"], {(): 2, ((0, 1),): 1, ((0, -1),): 1})
+    g = Grid("v", 1)
+    return apply(grid, ["i"], {"out": 2 * g(st.I) + g(st.I + 1) + g(st.I - 1)}).withColumn("out", F.col("out").cast("long"))
+
+
+@query("window_1d_orders", offsets_sql({(): 2, ((0, 1),): 1, ((0, -1),): 1}, ["i"], G1_SQL))
+def _orders_window(s, d):
+    """The same by windows over pieces of the axis."""
+    grid = table(s, d, "orders").select(F.col("o_orderkey").alias("i"), F.round(F.col("o_totalprice") * 100).cast("long").alias("v"))
+    g = Grid("v", 1)
+    out = apply(grid, ["i"], {"out": 2 * g(st.I) + g(st.I + 1) + g(st.I - 1)}, strategy="window")
+    return out.withColumn("out", F.col("out").cast("long"))
 
 
 def _outputs() -> dict:
@@ -133,41 +144,109 @@ ARITH = _one(("a", (V + 7) * 3 - V), ("b", (V - RIGHT) / 4), ("c", V % 1000), ("
 BITS = _one(("a", V & 255), ("b", V | 1024), ("c", V ^ 4095), ("d", V << 3), ("e", V >> 2), ("f", ~V))
 TESTS = _one(("a", If((V > 25000).logical_and(RIGHT > 25000), 1, 0)), ("b", If((V < 100).logical_or((V == RIGHT).logical_not()), V, RIGHT)), ("c", If(V & 1, V, -V)), ("d", If((V >= 1000).logical_and(V != 2000), 1, If(V <= 10, 2, 3))))
 CALLS = _one(("a", Func("max", 2)(V, RIGHT)), ("b", Func("min", 2)(V - 25000, 0)), ("c", Func("abs", 1)(V - RIGHT)), ("d", Func("floor", 1)(V / 8)), ("e", Func("sqrt", 1)((V % 100) * (V % 100))))
-for _n, _o in (("multi_output", _outputs()), ("expr_arith", ARITH), ("expr_bitwise", BITS), ("expr_compare_logical", TESTS), ("expr_functions", CALLS)):
-    query(_n, reads_sql(_o, A3, G3_SQL))(lambda s, d, o=_o: apply(g3(s, d), A3, o, strategy="window"))
+X = V / 10000 + "0.1"
+ROUND = Func("round", 2)
+MATH = _one(
+    ("a", ROUND(Func("exp", 1)(X / 8), 6)), ("b", ROUND(Func("log", 1)(X), 6)), ("c", ROUND(Func("sin", 1)(X), 6)), ("d", ROUND(Func("cos", 1)(X), 6)), ("e", ROUND(Func("tan", 1)(X / 100), 6)),
+    ("f", ROUND(Func("pow", 2)(X, "1.5"), 5)), ("g", Func("ceil", 1)(V / 8)), ("h", Func("fabs", 1)(V - 25000)), ("m", Func("fmax", 2)(V, RIGHT)), ("n", Func("fmin", 2)(V, RIGHT)),
+)
+NAMED = _one(("a", ROUND(Func("atan2", 2)(V, RIGHT + 1), 6)), ("b", ROUND(Func("cbrt", 1)(V), 6)))
+for _n, _o in (("multi_output", _outputs()), ("expr_arith", ARITH), ("expr_bitwise", BITS), ("expr_compare_logical", TESTS), ("expr_functions", CALLS), ("expr_math", MATH), ("expr_named_function", NAMED)):
+    query(_n, reads_sql(_o, A3, G3_SQL))(lambda s, d, o=_o: apply(g3(s, d), A3, o))
+query("plan_window_7pt", offsets_sql(_star([4, 1]), A3, G3_SQL))(lambda s, d: apply(g3(s, d), A3, {"out": st.star(3, [4, 1])}, strategy="window").withColumn("out", F.col("out").cast("long")))
+query("plan_join_13pt", offsets_sql(_star([40, 7, 3]), A3, G3_SQL))(lambda s, d: apply(g3(s, d), A3, {"out": st.star(3, [40, 7, 3])}, strategy="join").withColumn("out", F.col("out").cast("long")))
+DIVIDED = _one(("a", V * (Lit(7) / Lit(2))), ("b", V + Lit(-7) / Lit(2)))
+query("expr_int_division", f"WITH {G3_SQL} SELECT i, j, k, v * 3 AS a, v - 3 AS b FROM g")(lambda s, d: apply(g3(s, d), A3, DIVIDED, c_int_division=True))
+
 
+W1_SQL = "w AS (SELECT p_size % 16 i, CAST(sum(p_size) AS BIGINT) w FROM part GROUP BY 1)"
 
-@query("lower_rank_coeff", f"WITH {G3_SQL}, w AS (SELECT p_size % 16 i, CAST(sum(p_size) AS BIGINT) w FROM part GROUP BY 1) SELECT g.i, g.j, g.k, g.v * coalesce(w.w, 0) AS out FROM g LEFT JOIN w ON w.i = g.i")
+
+def _w(s, d):
+    return table(s, d, "part").groupBy((F.col("p_size") % 16).cast("long").alias("i")).agg(F.sum("p_size").alias("w"))
+
+
+@query("lower_rank_coeff", f"WITH {G3_SQL}, {W1_SQL} SELECT g.i, g.j, g.k, g.v * coalesce(w.w, 0) AS out FROM g LEFT JOIN w ON w.i = g.i")
 def _lower(s, d):
-    w = table(s, d, "part").groupBy((F.col("p_size") % 16).cast("long").alias("i")).agg(F.sum("p_size").alias("w"))
-    joined = g3(s, d).join(F.broadcast(w), "i", "left").withColumn("w", F.coalesce("w", F.lit(0)))  # at most 16 rows
-    return by_window(joined, A3, {"out": V * Grid("w", 1)(st.I)}, extra={"w": "w"})
+    return apply(g3(s, d), A3, {"out": V * Grid("w", 1)(st.I)}, operands={"w": _w(s, d)})
+
+
+LOWER = {"out": V * Grid("w", 1)(st.I + 1) + RIGHT * Grid("u", 2)(st.J, st.K - 1)}
+
+
+@query(
+    "lower_rank_join",
+    f"""WITH {G3_SQL}, {W1_SQL}, u AS (SELECT j, k, max(v) u FROM g GROUP BY j, k)
+SELECT g.i, g.j, g.k, g.v * coalesce(w.w, 0) + coalesce(r.v, 0) * coalesce(u.u, 0) AS out
+FROM g LEFT JOIN w ON w.i = g.i + 1 LEFT JOIN g r ON r.i = g.i + 1 AND r.j = g.j AND r.k = g.k LEFT JOIN u ON u.j = g.j AND u.k = g.k - 1""",
+)
+def _lower_join(s, d):
+    grid = g3(s, d)
+    return apply(grid, A3, LOWER, strategy="join", operands={"w": _w(s, d), "u": grid.groupBy("j", "k").agg(F.max("v").alias("u"))})
+
+
+def g3_two(s, d):
+    """Two fields on one grid."""
+    return g3(s, d).withColumn("u", F.col("v") % 1000 + F.col("i"))
+
+
+U = Grid("u", 3)
+TWO = {"a": st.star(3, [4, 1]) + 1000 * st.star(3, [2, 3], "u"), "b": V + U(*st.AXES3) * 100, "c": st.star(3, [0, 1], "u")}
+TWO_SQL = G3_SQL.replace("g AS (", "h AS (") + ", g AS (SELECT *, v % 1000 + i u FROM h)"
+
 
+def _two_sql() -> str:
+    near = [(n, s) for n in range(3) for s in (1, -1)]
+    on = lambda n, s: " AND ".join(f"n{n}{'p' if s > 0 else 'm'}.{a} = c.{a}{f' + {s}' if s > 0 and m == n else f' - {-s}' if m == n else ''}" for m, a in enumerate(A3))
+    joins = " ".join(f"LEFT JOIN g n{n}{'p' if s > 0 else 'm'} ON {on(n, s)}" for n, s in near)
+    total = lambda f: " + ".join(f"coalesce(n{n}{'p' if s > 0 else 'm'}.{f}, 0)" for n, s in near)
+    return f"WITH {TWO_SQL} SELECT c.i, c.j, c.k, 4 * c.v + {total('v')} + 1000 * (2 * c.u + 3 * ({total('u')})) AS a, c.v + c.u * 100 AS b, {total('u')} AS c FROM g c {joins}"
 
-def _steps_sql(steps: int, weights: dict) -> str:
+
+for _n in ("gather", "window", "join"):
+    query("two_fields_7pt" + ("" if _n == "gather" else f"_{_n}"), _two_sql())(lambda s, d, n=_n: apply(g3_two(s, d), A3, TWO, strategy=n))
+
+
+def _steps_sql(steps: int, weights: dict, whole: bool = False) -> str:
+    """whole: only cells that had all their neighbours in the step before."""
+    having = f" HAVING count(n.v) = {len(weights)}" if whole else ""
     rows = ", ".join("(" + ", ".join(str(dict(o).get(n, 0)) for n in range(3)) + f", {w})" for o, w in weights.items())
     text = f"WITH {G3_SQL}, o(di, dj, dk, w) AS (VALUES {rows}), s0 AS (SELECT * FROM g)"
     for n in range(steps):
-        text += f", s{n + 1} AS (SELECT c.i, c.j, c.k, CAST(sum(w * coalesce(n.v, 0)) AS BIGINT) v FROM s{n} c CROSS JOIN o LEFT JOIN s{n} n ON n.i = c.i + di AND n.j = c.j + dj AND n.k = c.k + dk GROUP BY c.i, c.j, c.k)"
+        text += f", s{n + 1} AS (SELECT c.i, c.j, c.k, CAST(sum(w * coalesce(n.v, 0)) AS BIGINT) v FROM s{n} c CROSS JOIN o LEFT JOIN s{n} n ON n.i = c.i + di AND n.j = c.j + dj AND n.k = c.k + dk GROUP BY c.i, c.j, c.k{having})"
     return text + f" SELECT i, j, k, v FROM s{steps}"
 
 
-query("iterate_7pt_x4", _steps_sql(4, _star([4, 1])))(lambda s, d: iterate(g3(s, d), A3, st.star(3, [4, 1]), 4).withColumn("v", F.col("v").cast("long")))
+query("iterate_7pt_x4", _steps_sql(4, _star([4, 1])))(lambda s, d: iterate(g3(s, d), A3, st.star(3, [4, 1]), 4, extents=[16, 16, planes(s, d)], per_exchange=2))
+query("iterate_7pt_x2_gather", _steps_sql(2, _star([4, 1])))(lambda s, d: iterate(g3(s, d), A3, st.star(3, [4, 1]), 2).withColumn("v", F.col("v").cast("long")))
 query("iterate_deep_halo_x4", _steps_sql(4, _star([4, 1])))(lambda s, d: iterate_deep(g3(s, d), A3, st.star(3, [4, 1]), 4, [16, 16, planes(s, d)]))
-query("iterate_shrinking_x2", _steps_sql(2, _star([4, 1])) + " WHERE i BETWEEN 2 AND 13 AND j BETWEEN 2 AND 13 AND k BETWEEN 2 AND (SELECT max(k) FROM g) - 2")(lambda s, d: shrinking(g3(s, d), A3, st.star(3, [4, 1]), 2, [16, 16, planes(s, d)]).withColumn("v", F.col("v").cast("long")))
+query("iterate_shrinking_x2", _steps_sql(2, _star([4, 1]), True))(lambda s, d: shrinking(g3(s, d), A3, st.star(3, [4, 1]), 2).withColumn("v", F.col("v").cast("long")))
 
-BLOCKED = "WITH " + G3_SQL + ", b AS (SELECT i//4 bi, j//4 bj, k//4 bk, (i%4) + 4*(j%4) + 16*(k%4) p, v FROM g)"
-query("to_blocks", BLOCKED + " SELECT bi, bj, bk, string_agg(CAST(v AS VARCHAR), ',' ORDER BY p) AS vals FROM b GROUP BY bi, bj, bk")(lambda s, d: op.to_blocks(g3(s, d), A3, 4).select("bi", "bj", "bk", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("vals")))
 
+def _two_exchanges_sql() -> str:
+    """Two steps of a 7-point and a 13-point stencil in turn, an exchange before each."""
+    text = _steps_sql(0, {}).replace(", o(di, dj, dk, w) AS (VALUES )", "").replace(" SELECT i, j, k, v FROM s0", "")
+    for n in range(4):
+        weights = _star([4, 1]) if n % 2 == 0 else _star([5, 1, 1])
+        rows = ", ".join("(" + ", ".join(str(dict(o).get(a, 0)) for a in range(3)) + f", {w})" for o, w in weights.items())
+        text += f", o{n}(di, dj, dk, w) AS (VALUES {rows}), s{n + 1} AS (SELECT c.i, c.j, c.k, CAST(sum(w * coalesce(n.v, 0)) AS BIGINT) v FROM s{n} c CROSS JOIN o{n} LEFT JOIN s{n} n ON n.i = c.i + di AND n.j = c.j + dj AND n.k = c.k + dk GROUP BY c.i, c.j, c.k)"
+    return text + " SELECT i, j, k, v FROM s4"
 
-def _dense(s, d):
-    """G3 cut to whole blocks of 4."""
-    return g3(s, d).where(F.col("k") < planes(s, d) // 4 * 4)
+
+query("iterate_two_exchanges_x2", _two_exchanges_sql())(lambda s, d: iterate(g3(s, d), A3, [st.star(3, [4, 1]), st.star(3, [5, 1, 1])], 2).withColumn("v", F.col("v").cast("long")))
+
+BLOCKED = "WITH " + G3_SQL + ", b AS (SELECT i//4 bi, j//4 bj, k//4 bk, (i%4) + 4*(j%4) + 16*(k%4) p, v FROM g)"
+query("to_blocks", BLOCKED + " SELECT bi, bj, bk, string_agg(CAST(v AS VARCHAR), ',' ORDER BY p) AS vals FROM b GROUP BY bi, bj, bk")(lambda s, d: op.to_blocks(g3(s, d), A3, 4).select("bi", "bj", "bk", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("vals")))
 
 
-DENSE = "WITH " + G3_SQL + ", h AS (SELECT * FROM g WHERE k < (SELECT (max(k)+1)//4*4 FROM g))"
-query("blocks_roundtrip", DENSE + " SELECT i, j, k, v FROM h")(lambda s, d: op.from_blocks(op.to_blocks(_dense(s, d), A3, 4), A3, 4))
-query("block_average", DENSE + ", b AS (SELECT i//4 bi, j//4 bj, k//4 bk, (i%4)+4*(j%4)+16*(k%4) p, v FROM h), o(x, y, z) AS (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) SELECT c.bi, c.bj, c.bk, c.p, sum(coalesce(n.v, 0)) / 7.0 AS v FROM b c CROSS JOIN o LEFT JOIN b n ON n.bi = c.bi + x AND n.bj = c.bj + y AND n.bk = c.bk + z AND n.p = c.p GROUP BY c.bi, c.bj, c.bk, c.p")(lambda s, d: op.block_average(op.to_blocks(_dense(s, d), A3, 4), A3).withColumn("p", F.col("p").cast("long")))
+query("blocks_roundtrip", f"WITH {G3_SQL} SELECT i, j, k, v FROM g")(lambda s, d: op.from_blocks(op.to_blocks(g3(s, d), A3, 4), A3, 4))
+query(
+    "block_average",
+    "WITH " + G3_SQL + """, b AS (SELECT i//4 bi, j//4 bj, k//4 bk, (i%4)+4*(j%4)+16*(k%4) p, v FROM g),
+o(x, y, z) AS (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1))
+SELECT c.bi, c.bj, c.bk, c.p, sum(coalesce(n.v, 0)) / 7.0 AS v
+FROM b c CROSS JOIN o LEFT JOIN b n ON n.bi = c.bi + x AND n.bj = c.bj + y AND n.bk = c.bk + z AND n.p = c.p GROUP BY c.bi, c.bj, c.bk, c.p""",
+)(lambda s, d: op.block_average(op.to_blocks(g3(s, d), A3, 4), A3).withColumn("p", F.col("p").cast("long")))
 query("block_add", BLOCKED + " SELECT bi, bj, bk, string_agg(CAST(2 * v AS VARCHAR), ',' ORDER BY p) AS vals FROM b GROUP BY bi, bj, bk")(lambda s, d: op.add_blocks(b := op.to_blocks(g3(s, d), A3, 4), b, ["bi", "bj", "bk"]).select("bi", "bj", "bk", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("vals")))
 _ADJ = "WITH p AS (SELECT range p FROM range(64)), x AS (SELECT p, d AS dir, p%4 + d%3 - 1 a, (p//4)%4 + (d//3)%3 - 1 b, p//16 + d//9 - 1 c FROM p CROSS JOIN range(27) t(d))"
 query("block_adjacency", _ADJ + " SELECT p + 1 AS block_id, CAST(dir AS INT) AS dir, CASE WHEN a BETWEEN 0 AND 3 AND b BETWEEN 0 AND 3 AND c BETWEEN 0 AND 3 THEN a + 4*b + 16*c + 1 ELSE 0 END AS neighbor_id FROM x")(lambda s, d: op.adjacency(s, [4, 4, 4]))
@@ -234,6 +313,15 @@ query("random_grid", "WITH x AS (SELECT range id FROM range(4096)) SELECT id%16
 query("copy_grid", f"WITH {G3_SQL} SELECT i, j, k, v AS out FROM g")(lambda s, d: apply(g3(s, d), A3, {"out": V}))
 
 
+_METRICS = "(1, 262144, 0.5, 0.05, 0.02, 0.03, 1048576), (2, 16777216, 1.25, 0.25, 0.125, 0.0, 33554432)"
+
+
+@query("derived_metrics", f"SELECT *, elements * 1e-9 / (calc + pack + call + wait) AS gstencil_s, bytes * 1e-9 / (call + wait) AS gb_s, bytes * 1e-6 AS mb FROM (SELECT step, elements::BIGINT elements, calc::DOUBLE calc, pack::DOUBLE pack, call::DOUBLE call, wait::DOUBLE wait, bytes::BIGINT bytes FROM (VALUES {_METRICS}) t(step, elements, calc, pack, call, wait, bytes))")
+def _derived(s, d):
+    rows = [(1, 262144, 0.5, 0.05, 0.02, 0.03, 1048576), (2, 16777216, 1.25, 0.25, 0.125, 0.0, 33554432)]
+    return op.derived_metrics(s.createDataFrame(rows, "step int, elements long, calc double, pack double, call double, wait double, bytes long"))
+
+
 @query("throughput_metrics")
 def _throughput(s, d):
     """Measured now: seconds and GStencil/s of one 7-point step."""
@@ -245,11 +333,12 @@ def _throughput(s, d):
     return s.createDataFrame([("7pt", n, took, op.throughput(n, {"calc": took}))], "stencil string, cells long, seconds double, gstencil_s double")
 
 
+from . import layout_queries  # noqa: E402, F401 - registers its queries
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import morton
+
 AXES = ("i", "j", "k", "l")
 
 
@@ -19,12 +22,9 @@ def decode(key: Column, extents: list[int]) -> list[Column]:
     return [*out, left]
 
 
-def from_key(df: DataFrame, key: str, extents: list[int], value: Column, whole: bool = True) -> DataFrame:
-    """Rows with a dense 0-based key as cells; `whole` leaves out a last plane that isn't full."""
-    plane = reduce(lambda a, b: a * b, extents, 1)
-    if whole:
-        full = df.agg(F.floor(F.count("*") / plane).alias("full"))  # one row
-        df = df.join(F.broadcast(full)).where(F.floor(F.col(key) / plane) < F.col("full"))
+def from_key(df: DataFrame, key: str, extents: list[int], value: Column) -> DataFrame:
+    """Rows with a dense 0-based key as cells. The last plane may be ragged: its missing cells are outside the grid, as those beyond
+    its edges are."""
     return df.select(*[c.cast("long").alias(a) for a, c in zip(AXES, decode(F.col(key), extents), strict=False)], value.alias("v"))
 
 
@@ -41,6 +41,21 @@ def random_cells(spark: SparkSession, extents: list[int], seed: int = 42) -> Dat
     return cells(spark, extents, u)
 
 
+def coefficients(n: int = 129, seed: int = 11) -> list[float]:
+    """Uniform numbers in [0, 1) by position, to be passed as a parameter `coeff` and read as coeff[0], coeff[1], ..."""
+    return [int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) / float(1 << 52) for i in range(n)]
+
+
+def write_cells(cells: DataFrame, axes: list[str], path: str, edge: int = 16, bits: int = 16) -> None:
+    """Cells as Parquet, dealt and sorted by the Morton code of their block, so files and row groups hold compact boxes."""
+    z = morton([F.pmod(F.floor(F.col(a) / edge), F.lit(1 << bits)) for a in axes], bits)
+    cells.withColumn("z", z).repartitionByRange("z").sortWithinPartitions("z", *reversed(axes)).write.mode("overwrite").parquet(path)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("z")
+
+
 def load_stencil(path: str):
     """What a stencil script calls STENCIL."""
     scope: dict = {}

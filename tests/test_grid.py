@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from gridloom import operators as op
 from gridloom import queries as q
 from gridloom import stencils as st
-from gridloom.dsl import Func, Grid, If, Index, linear, radius
-from gridloom.plans import by_blocks, by_join, by_scatter, by_window
+from gridloom.dsl import Func, Grid, If, Index, Lit, linear, radius, walk
+from gridloom.operators.decomposition import Decomposition
+from gridloom.plans import apply, by_blocks, by_gather, by_join, by_scatter, by_window, choose
 from gridloom.sources import cells
 from gridloom.streaming import iterate, iterate_deep
 
@@ -32,9 +33,7 @@ def test_expression_errors():
         Func("max", 2)(1)
     with pytest.raises(ValueError):
         g(i, i)
-    with pytest.raises(ValueError):
-        g(i + 1).assign(1)
-    g(i).assign(3)
+    g(i + 1).assign(3)  # offsets on the left say nothing
     with pytest.raises(ValueError):
         g(i + 1)
     with pytest.raises(TypeError):
@@ -51,6 +50,7 @@ def test_plans_agree(spark, cube):
     expr = st.star(3, [4, 1])
     w = linear(expr, {})
     want = rows(by_window(cube, A3, {"out": expr}), *A3, "out")
+    assert rows(by_gather(cube, A3, {"out": expr}), *A3, "out") == want
     assert rows(by_join(cube, A3, {"out": expr}), *A3, "out") == want
     assert rows(by_scatter(cube, A3, w), *A3, "out") == want
     assert rows(by_blocks(cube, A3, w, [6, 6, 6], block=4, kind="long"), *A3, "out") == want
@@ -59,6 +59,7 @@ def test_plans_agree(spark, cube):
 def test_periodic_plans_and_mass(cube):
     w = linear(st.star(3, [4, 1]), {})
     a = rows(by_join(cube, A3, {"out": st.star(3, [4, 1])}, boundary="periodic", extents=[6, 6, 6]), *A3, "out")
+    assert a == rows(by_gather(cube, A3, {"out": st.star(3, [4, 1])}, boundary="periodic", extents=[6, 6, 6]), *A3, "out")
     assert a == rows(by_scatter(cube, A3, w, boundary="periodic", extents=[6, 6, 6]), *A3, "out")
     assert a == rows(by_blocks(cube, A3, w, [6, 6, 6], block=4, boundary="periodic", kind="long"), *A3, "out")
     assert sum(r[3] for r in a) == 10 * sum(r["v"] for r in cube.collect())
@@ -86,6 +87,79 @@ def test_sparse_axis(spark):
     assert rows(out, "i", "out") == [(0, 3), (1, 2), (3, 5)]
 
 
+def test_two_grids_are_two_columns(spark):
+    v, u, i = Grid("v", 1), Grid("u", 1), Index(0)
+    line = spark.createDataFrame([(n, 1, 10) for n in range(5)], "i long, v long, u long")
+    both = {"out": v(i) + u(i) * 100 + u(i + 1) * 1000}
+    assert linear(v(i) + v(i), {}) == {(): 2} and linear(v(i) + u(i), {}) is None
+    want = [(n, 1001 + (10_000 if n < 4 else 0)) for n in range(5)]
+    for plan in ("gather", "window", "join"):
+        assert rows(apply(line, ["i"], both, strategy=plan), "i", "out") == want
+    with pytest.raises(ValueError):
+        apply(line, ["i"], both, strategy="scatter")
+    with pytest.raises(ValueError):
+        apply(line, ["i"], {"out": Grid("w", 1)(i)})
+
+
+def test_no_plan_puts_an_axis_in_one_task(spark):
+    line = spark.range(300).selectExpr("id i", "id * id v")
+    g, i = Grid("v", 1), Index(0)
+    out = {"out": g(i + 2) - g(i - 1)}
+    want = [(n, ((n + 2) ** 2 if n < 298 else 0) - ((n - 1) ** 2 if n else 0)) for n in range(300)]
+    assert choose(out, {}, ["i"]) == "gather"
+    for plan in ("gather", "window"):
+        df = apply(line, ["i"], out, strategy=plan)
+        assert rows(df, "i", "out") == want
+        assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_operands_in_every_plan(spark, cube):
+    w = spark.createDataFrame([(n, 10 + n) for n in range(6)], "j long, w long")
+    expr = {"out": Grid("v", 3)(*st.AXES3) * Grid("w", 1)(Index(1) + 1)}
+    want = sorted((r["i"], r["j"], r["k"], r["v"] * (11 + r["j"] if r["j"] < 5 else 0)) for r in cube.collect())
+    for plan in ("gather", "window", "join"):
+        assert rows(apply(cube, A3, expr, strategy=plan, operands={"w": w}), *A3, "out") == want
+    wrapped = apply(cube, A3, expr, boundary="periodic", extents=[6, 6, 6], operands={"w": w})
+    assert rows(wrapped, *A3, "out") == sorted((r["i"], r["j"], r["k"], r["v"] * (10 + (r["j"] + 1) % 6)) for r in cube.collect())
+
+
+def test_blocks_keep_places(spark):
+    missing = spark.createDataFrame([(0, 0, 5), (1, 1, 7), (1, 1, 3), (3, 0, None)], "i long, j long, v long")
+    blocks = op.to_blocks(missing, ["i", "j"], 2)
+    assert {(r.bi, r.bj): r.v for r in blocks.collect()} == {(0, 0): [5, None, None, 7], (1, 0): [None] * 4}
+    assert rows(op.from_blocks(blocks, ["i", "j"], 2), "i", "j", "v") == [(0, 0, 5), (1, 1, 7)]
+
+
+def test_decomposition_objects(spark):
+    with pytest.raises(ValueError):
+        Decomposition([64, 64, 64], 8, 16, op.surface_order("good"))
+    with pytest.raises(ValueError):
+        Decomposition([60, 64, 64], 8, 8, op.surface_order("good"))
+    with pytest.raises(ValueError):
+        Decomposition([8, 64, 64], 8, 8, op.surface_order("good"))
+    d = Decomposition([64, 64, 64], 8, 8, op.surface_order("good"))
+    assert d.separators() == (217, 513, 1001)
+    ids = [r.block_id for r in d.index(spark).collect()]
+    assert sorted(ids) == list(range(1, 1001))
+    for name, runs in (("good", 42), ("normal", 62), ("bad", 98)):
+        d = Decomposition([64, 64, 64], 8, 8, op.surface_order(name), 4)
+        assert d.exchanges(spark).count() == runs
+        assert all(r.start % 4 == 0 and r.stop % 4 == 0 for r in d.layout(spark).collect())
+
+
+def test_timing_and_walk():
+    calls = []
+    n, took = op.timed(lambda: calls.append(1), 0.001)
+    assert n & (n - 1) == 0 and took >= 0.001 and len(calls) >= n + 1
+    assert sum(1 for _ in walk(If(Lit(1) > 0, Lit(2), -Lit(3)))) == 7
+
+
+def test_long_iterations_need_a_shared_folder(cube, monkeypatch):
+    g = Grid("v", 3)(*st.AXES3)
+    once = iterate(cube, A3, [g + 1], 3, checkpoint_every=2)
+    assert rows(once, *A3, "v") == sorted((r["i"], r["j"], r["k"], r["v"] + 3) for r in cube.collect())
+
+
 def test_decomposition(spark, cube):
     for name, runs in (("good", 42), ("normal", 62), ("bad", 98)):
         assert sum(r["runs"] for r in op.surface_runs(spark, op.surface_order(name), 3).collect()) == runs
