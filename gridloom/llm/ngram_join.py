@@ -15,8 +15,8 @@ Spread over a cluster, this runs in five steps, none of which can lose a link:
 3. Stars: of the classes at the head of the lists it is in, each class is verified against the one it meets most often, in rows
    dealt by that class and a part. Large groups of near copies link up here, in work linear in their size.
 4. Lists whose members are all connected by now lead to nothing new. Classes that meet in one of the others fall into one cluster
-   (connected components); a cluster's sets meet once, in blocks of at most BLOCK_SHINGLES for large clusters (every pair of blocks
-   meets), and the T-occurrence search runs there. Pairs that are already connected aren't verified again; no cap on lists or
+   (connected components); a cluster's sets meet once, in parts for large clusters (every pair of parts meets, up to SPREAD_PARTS of
+   them, and beyond that as many as BLOCK_SHINGLES asks for), and the T-occurrence search runs there. Pairs that are already connected aren't verified again; no cap on lists or
    candidates.
 5. Components of the links give each document the smallest doc_id it reaches.
 
@@ -39,6 +39,8 @@ from .common import MASK, Scratch, components, fresh, mix, shingle_sets, small_o
 
 SLACK, SPARE = 2, 4
 BLOCK_SHINGLES = 2_000_000
+#: Clusters from SPREAD_SHINGLES on are dealt in up to SPREAD_PARTS parts, so that many tasks share them.
+SPREAD_SHINGLES, SPREAD_PARTS = 25_000, 16
 #: Classes that a task verifies against one star.
 STAR_ROWS = 500
 #: The weight of a list's length in DivideSkip's choice of L, and the entries up to which lists are merged by heap.
@@ -423,13 +425,13 @@ def star_edges(rows: DataFrame, key: str, node: str) -> DataFrame:
     return rows.join(least, key).select(F.col(node).alias("a"), "b").where("a <> b").distinct()
 
 
-def links_in_clusters(sets: DataFrame, edges: DataFrame, num: int, den: int, scratch: Scratch, joined: DataFrame | None = None, block: int = BLOCK_SHINGLES) -> DataFrame:
+def links_in_clusters(sets: DataFrame, edges: DataFrame, num: int, den: int, scratch: Scratch, joined: DataFrame | None = None, block: int = BLOCK_SHINGLES, spread: int = SPREAD_SHINGLES) -> DataFrame:
     """(a, b): verified links that connect all linked classes within the clusters that edges span; joined: (class, joined) known before."""
     label = components(edges, scratch, "cluster").select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     placed = sets.join(small_or_shuffled(label), "class")
     placed = placed.join(small_or_shuffled(joined), "class", "left").withColumn("joined", F.coalesce("joined", "class")) if joined is not None else placed.withColumn("joined", F.col("class"))
     placed = scratch.save(placed.select("class", "n", "tokens", "cluster", "joined"), "placed")
-    parts = placed.groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts")).where("parts > 1")
+    parts = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / block), F.least(F.ceil(F.sum("n") / spread), F.lit(SPREAD_PARTS))).cast("int").alias("parts")).where("parts > 1")
     dealt = placed.join(small_or_shuffled(parts), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("cluster", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "part", "class", "joined", "tokens")

@@ -97,15 +97,15 @@ def test_blocks_of_a_large_cluster(spark):
     sets = [(n, sorted(set(range(100)) - {r.randrange(100) for _ in range(6)})) for n in range(80)]
     df = spark.createDataFrame([(n, len(s), s) for n, s in sets], "class long, n long, tokens array<long>")
     edges = spark.createDataFrame([(n, 0) for n in range(1, 80)], "a long, b long")
-    link = lambda block: ngram_join.links_in_clusters(df, edges, 90, 100, Scratch(spark, "t"), None, block).collect()
+    link = lambda block: ngram_join.links_in_clusters(df, edges, 90, 100, Scratch(spark, "t"), None, *block).collect()
     groups = []
-    for block in (10**9, 700):
+    for block in ((10**9, 10**9), (700, 10**9), (10**9, 700)):
         root = list(range(80))
         find = lambda i, root=root: i if root[i] == i else find(root[i])
         for a, b in link(block):
             root[find(a)] = find(b)
         groups.append({frozenset(j for j in range(80) if find(j) == find(i)) for i in range(80)})
-    assert groups[0] == groups[1]
+    assert groups[0] == groups[1] == groups[2]
 
 
 @pytest.mark.parametrize("entries", [0, 10**9])
