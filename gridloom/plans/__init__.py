@@ -204,12 +204,17 @@ def _weights(outputs: dict[str, Expr], params: dict, axes: list[str]) -> dict[Of
     return linear(next(iter(outputs.values())), params)
 
 
-def choose(outputs: dict[str, Expr], params: dict, axes: list[str], steps: int = 1, boundary: str = "zero", extents: list[int] | None = None) -> str:
-    """blocks for wide or repeated sums in a known box, join for clamped reads, gather for all else; none puts an axis in one task."""
+def choose(outputs: dict[str, Expr], params: dict, axes: list[str], steps: int = 1, boundary: str = "zero", extents: list[int] | None = None, exact: bool = False) -> str:
+    """blocks for wide or repeated sums in a known box, scatter for sums that are exact in any order (integers), join for clamped reads,
+    gather for all else, which evaluates each expression in its own order. None puts an axis in one task."""
     if boundary == "clamp":
         return "join"
+    weights = _weights(outputs, params, axes)
     wide = steps > 1 or radius(*outputs.values()) > 2 or len(reads(*outputs.values())) > 27
-    return "blocks" if wide and extents and boundary != "interior" and _weights(outputs, params, axes) is not None else "gather"
+    if weights is not None and wide and extents and boundary != "interior":
+        return "blocks"
+    whole = weights is not None and all(isinstance(w, int) for w in weights.values())
+    return "scatter" if exact and whole and not wide else "gather"
 
 
 def apply(
@@ -218,7 +223,10 @@ def apply(
 ) -> DataFrame:
     """The outputs at every cell. Hints: the plan by name (else the chosen one), the block's edge, and integer division of literals."""
     params = params or {}
-    strategy = strategy or choose(outputs, params, axes, 1, boundary, extents)
+    if not strategy:
+        held = dict(cells.dtypes)
+        exact = all(held.get(r.grid.name) in ("tinyint", "smallint", "int", "bigint") for r in reads(*outputs.values()))
+        strategy = choose(outputs, params, axes, 1, boundary, extents, exact)
     if strategy == "gather":
         return by_gather(cells, axes, outputs, params, boundary, extents, operands, c_int_division)
     if strategy == "window":

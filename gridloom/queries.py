@@ -148,7 +148,7 @@ X = V / 10000 + "0.1"
 ROUND = Func("round", 2)
 MATH = _one(
     ("a", ROUND(Func("exp", 1)(X / 8), 6)), ("b", ROUND(Func("log", 1)(X), 6)), ("c", ROUND(Func("sin", 1)(X), 6)), ("d", ROUND(Func("cos", 1)(X), 6)), ("e", ROUND(Func("tan", 1)(X / 100), 6)),
-    ("f", ROUND(Func("pow", 2)(X, "1.5"), 5)), ("g", Func("ceil", 1)(V / 8)), ("h", Func("fabs", 1)(V - 25000)), ("m", Func("fmax", 2)(V, RIGHT)), ("n", Func("fmin", 2)(V, RIGHT)),
+    ("f", ROUND(Func("pow", 2)(X, "1.37"), 5)), ("g", Func("ceil", 1)(V / 8)), ("h", Func("fabs", 1)(V - 25000)), ("m", Func("fmax", 2)(V, RIGHT)), ("n", Func("fmin", 2)(V, RIGHT)),
 )
 NAMED = _one(("a", ROUND(Func("atan2", 2)(V, RIGHT + 1), 6)), ("b", ROUND(Func("cbrt", 1)(V), 6)))
 for _n, _o in (("multi_output", _outputs()), ("expr_arith", ARITH), ("expr_bitwise", BITS), ("expr_compare_logical", TESTS), ("expr_functions", CALLS), ("expr_math", MATH), ("expr_named_function", NAMED)):
