@@ -243,6 +243,13 @@ def section(axes: list[str], extents: list[int], depth: int, dirs: tuple[int, ..
     return ok
 
 
+def interior(cells: DataFrame, axes: list[str], extents: list[int], depth: int) -> DataFrame:
+    """The cells at least `depth` from the box's faces; an axis of extent None has none."""
+    for a, n in zip(axes, extents, strict=True):
+        cells = cells.where(F.col(a).between(depth, n - 1 - depth)) if n is not None else cells
+    return cells
+
+
 def _bounds(extents: list[int], depth: int, dirs: tuple[int, ...], inner: bool) -> list[tuple[int, int]]:
     """[low, high) of the owned surface towards dirs, on each axis."""
     out = []

@@ -247,7 +247,9 @@ o(x, y, z) AS (VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)
 SELECT c.bi, c.bj, c.bk, c.p, sum(coalesce(n.v, 0)) / 7.0 AS v
 FROM b c CROSS JOIN o LEFT JOIN b n ON n.bi = c.bi + x AND n.bj = c.bj + y AND n.bk = c.bk + z AND n.p = c.p GROUP BY c.bi, c.bj, c.bk, c.p""",
 )(lambda s, d: op.block_average(op.to_blocks(g3(s, d), A3, 4), A3).withColumn("p", F.col("p").cast("long")))
-query("block_add", BLOCKED + " SELECT bi, bj, bk, string_agg(CAST(2 * v AS VARCHAR), ',' ORDER BY p) AS vals FROM b GROUP BY bi, bj, bk")(lambda s, d: op.add_blocks(b := op.to_blocks(g3(s, d), A3, 4), b, ["bi", "bj", "bk"]).select("bi", "bj", "bk", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("vals")))
+query("block_add", BLOCKED + " SELECT bi, bj, bk, string_agg(CAST(2 * v AS VARCHAR), ',' ORDER BY p) AS vals FROM b GROUP BY bi, bj, bk")(
+    lambda s, d: op.add_blocks(b := op.to_blocks(g3(s, d), A3, 4), b, ["bi", "bj", "bk"]).select("bi", "bj", "bk", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("vals"))
+)
 _ADJ = "WITH p AS (SELECT range p FROM range(64)), x AS (SELECT p, d AS dir, p%4 + d%3 - 1 a, (p//4)%4 + (d//3)%3 - 1 b, p//16 + d//9 - 1 c FROM p CROSS JOIN range(27) t(d))"
 query("block_adjacency", _ADJ + " SELECT p + 1 AS block_id, CAST(dir AS INT) AS dir, CASE WHEN a BETWEEN 0 AND 3 AND b BETWEEN 0 AND 3 AND c BETWEEN 0 AND 3 THEN a + 4*b + 16*c + 1 ELSE 0 END AS neighbor_id FROM x")(lambda s, d: op.adjacency(s, [4, 4, 4]))
 query("block_adjacency_linear", _ADJ + " SELECT p + 1 AS block_id, CAST(dir AS INT) AS dir, CASE WHEN a + 4*b + 16*c BETWEEN 0 AND 63 THEN a + 4*b + 16*c + 1 ELSE 0 END AS neighbor_id FROM x")(lambda s, d: op.adjacency(s, [4, 4, 4], per_axis=False))
@@ -258,10 +260,28 @@ query("zorder_decode", Z_SQL + " SELECT z, i, j, k FROM z")(lambda s, d: g3(s, d
 query("zorder_set_axis", Z_SQL.replace("((j>>b)", "((5>>b)") + " SELECT i, j, k, z FROM z")(lambda s, d: g3(s, d).select("i", "j", "k", morton_set(morton([F.col(a) for a in A3]), 1, F.lit(5), 3).alias("z")))
 
 _DIRS = ", ".join(f"({n}, [{', '.join(map(str, sorted(s)))}]::INT[])" for n, s in enumerate(op.directions(3)))
-query("directions", "SELECT CAST(9*(1-c) + 3*(1-b) + (1-a) AS INT) AS ord, '{' || (CASE a WHEN 1 THEN '1+' WHEN -1 THEN '1-' ELSE '' END) || (CASE b WHEN 1 THEN '2+' WHEN -1 THEN '2-' ELSE '' END) || (CASE c WHEN 1 THEN '3+' WHEN -1 THEN '3-' ELSE '' END) || '}' AS dirs FROM (VALUES (-1),(0),(1)) x(a), (VALUES (-1),(0),(1)) y(b), (VALUES (-1),(0),(1)) z(c)")(lambda s, d: op.direction_frame(s, op.directions(3)).select("ord", direction_text(F.col("dirs")).alias("dirs")))
-query("direction_sets", f"WITH t(ord, dirs) AS (VALUES {_DIRS}), p AS (SELECT a.ord a, b.ord b, a.dirs x, b.dirs y FROM t a CROSS JOIN t b) SELECT a, b, CAST(len(list_intersect(x, y)) AS INT) AS both, CAST(len(x) + len(y) - len(list_intersect(x, y)) AS INT) AS either, CAST(len(x) + len(y) - 2 * len(list_intersect(x, y)) AS INT) AS apart, len(list_intersect(x, y)) = len(x) AS inside, CAST(coalesce(list_sum(list_transform(x, lambda p: CASE WHEN p > 0 THEN 1::BIGINT << p ELSE 1::BIGINT << (31 - p) END)), 0) AS BIGINT) AS mask, array_to_string(list_sort(list_transform(x, lambda p: -p)), ',') AS negated FROM p")(
-    lambda s, d: (t := op.direction_frame(s, op.directions(3))).select(F.col("ord").alias("a"), F.col("dirs").alias("x")).crossJoin(t.select(F.col("ord").alias("b"), F.col("dirs").alias("y"))).select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_union("x", "y")).alias("either"), F.size(symmetric_difference(F.col("x"), F.col("y"))).alias("apart"), is_subset(F.col("x"), F.col("y")).alias("inside"), direction_mask(F.col("x")).alias("mask"), F.array_join(negate(F.col("x")), ",").alias("negated"))
-)
+_SIGNS = lambda c, n: f"(CASE {c} WHEN 1 THEN '{n}+' WHEN -1 THEN '{n}-' ELSE '' END)"
+query(
+    "directions",
+    f"""SELECT CAST(9*(1-c) + 3*(1-b) + (1-a) AS INT) AS ord, '{{' || {_SIGNS('a', 1)} || {_SIGNS('b', 2)} || {_SIGNS('c', 3)} || '}}' AS dirs
+FROM (VALUES (-1),(0),(1)) x(a), (VALUES (-1),(0),(1)) y(b), (VALUES (-1),(0),(1)) z(c)""",
+)(lambda s, d: op.direction_frame(s, op.directions(3)).select("ord", direction_text(F.col("dirs")).alias("dirs")))
+
+
+@query(
+    "direction_sets",
+    f"""WITH t(ord, dirs) AS (VALUES {_DIRS}), p AS (SELECT a.ord a, b.ord b, a.dirs x, b.dirs y, len(list_intersect(a.dirs, b.dirs)) n FROM t a CROSS JOIN t b)
+SELECT a, b, CAST(n AS INT) AS both, CAST(len(x) + len(y) - n AS INT) AS either, CAST(len(x) + len(y) - 2 * n AS INT) AS apart, n = len(x) AS inside,
+CAST(coalesce(list_sum(list_transform(x, lambda p: CASE WHEN p > 0 THEN 1::BIGINT << p ELSE 1::BIGINT << (31 - p) END)), 0) AS BIGINT) AS mask,
+array_to_string(list_sort(list_transform(x, lambda p: -p)), ',') AS negated FROM p""",
+)
+def _direction_sets(s, d):
+    t, x, y = op.direction_frame(s, op.directions(3)), F.col("x"), F.col("y")
+    pairs = t.select(F.col("ord").alias("a"), F.col("dirs").alias("x")).crossJoin(t.select(F.col("ord").alias("b"), F.col("dirs").alias("y")))  # 27 by 27
+    return pairs.select(
+        "a", "b", F.size(F.array_intersect(x, y)).alias("both"), F.size(F.array_union(x, y)).alias("either"), F.size(symmetric_difference(x, y)).alias("apart"),
+        is_subset(x, y).alias("inside"), direction_mask(x).alias("mask"), F.array_join(negate(x), ",").alias("negated"),
+    )
 
 
 def _runs_sql(order: list, d: int) -> str:
@@ -272,7 +292,10 @@ def _runs_sql(order: list, d: int) -> str:
     fits = " AND ".join(f"(n{c} = 0 OR s.{c} = -n{c})" for c in cols)
     names = ", ".join(f"n{c}" for c in cols)
     size = " + ".join(f"abs(n{c})" for c in cols)
-    return f"WITH s(pos, {', '.join(cols)}) AS (VALUES {rows}), m AS (SELECT {names}, pos - row_number() OVER (PARTITION BY {names} ORDER BY pos) r FROM {dirs}, s WHERE ({some}) AND {fits}), c AS (SELECT {names}, count(DISTINCT r) runs FROM m GROUP BY {names}) SELECT CAST({size} AS INT) AS axes, CAST(sum(runs) AS BIGINT) AS runs, count(*) AS neighbors FROM c GROUP BY 1"
+    return f"""WITH s(pos, {', '.join(cols)}) AS (VALUES {rows}),
+m AS (SELECT {names}, pos - row_number() OVER (PARTITION BY {names} ORDER BY pos) r FROM {dirs}, s WHERE ({some}) AND {fits}),
+c AS (SELECT {names}, count(DISTINCT r) runs FROM m GROUP BY {names})
+SELECT CAST({size} AS INT) AS axes, CAST(sum(runs) AS BIGINT) AS runs, count(*) AS neighbors FROM c GROUP BY 1"""
 
 
 for _n, _d in (("good", 3), ("normal", 3), ("bad", 3), ("default", 4)):
@@ -280,21 +303,47 @@ for _n, _d in (("good", 3), ("normal", 3), ("bad", 3), ("default", 4)):
 
 _GOOD = ", ".join(f"({n}, [{', '.join(map(str, sorted(s)))}]::INT[])" for n, s in enumerate(op.SURFACE_GOOD))
 _GHOST = ", ".join(f"({n}, [{', '.join(map(str, sorted(s)))}]::INT[])" for n, s in enumerate([x for x in op.directions(3) if x]))
-query("region_layout", f"WITH s(n, dirs) AS (VALUES {_GOOD}), h(n, dirs) AS (VALUES {_GHOST}), r AS (SELECT 0 ord, 'null' kind, []::INT[] dirs, 1 len UNION ALL SELECT 1, 'interior', []::INT[], 216 UNION ALL SELECT 2 + n, 'surface', dirs, 6 ** (3 - len(dirs)) FROM s UNION ALL SELECT 28 + n, 'ghost', dirs, 8 ** (3 - len(dirs)) FROM h) SELECT ord, kind, array_to_string(dirs, ',') AS dirs, CAST(sum(len) OVER (ORDER BY ord) - len AS BIGINT) AS pos, CAST(len AS BIGINT) AS len FROM r")(lambda s, d: op.region_layout(s, [8, 8, 8], 1, op.surface_order("good")))
-query("region_sizes", f"WITH {G3_SQL}, m AS (SELECT max(k) + 1 n FROM g) SELECT CASE WHEN i < 2 THEN -1 WHEN i >= 14 THEN 1 ELSE 0 END a, CASE WHEN j < 2 THEN -1 WHEN j >= 14 THEN 1 ELSE 0 END b, CASE WHEN k < 1 THEN -1 WHEN k >= n - 1 THEN 1 ELSE 0 END c, count(*) AS cells FROM g, m GROUP BY ALL")(
-    lambda s, d: (n := planes(s, d)) and g3(s, d).groupBy(F.when(F.col("i") < 2, -1).when(F.col("i") >= 14, 1).otherwise(0).alias("a"), F.when(F.col("j") < 2, -1).when(F.col("j") >= 14, 1).otherwise(0).alias("b"), F.when(F.col("k") < 1, -1).when(F.col("k") >= n - 1, 1).otherwise(0).alias("c")).agg(F.count("*").alias("cells"))
-)
+query(
+    "region_layout",
+    f"""WITH s(n, dirs) AS (VALUES {_GOOD}), h(n, dirs) AS (VALUES {_GHOST}),
+r AS (SELECT 0 ord, 'null' kind, []::INT[] dirs, 1 len UNION ALL SELECT 1, 'interior', []::INT[], 216
+UNION ALL SELECT 2 + n, 'surface', dirs, 6 ** (3 - len(dirs)) FROM s UNION ALL SELECT 28 + n, 'ghost', dirs, 8 ** (3 - len(dirs)) FROM h)
+SELECT ord, kind, array_to_string(dirs, ',') AS dirs, CAST(sum(len) OVER (ORDER BY ord) - len AS BIGINT) AS pos, CAST(len AS BIGINT) AS len FROM r""",
+)(lambda s, d: op.region_layout(s, [8, 8, 8], 1, op.surface_order("good")))
+@query(
+    "region_sizes",
+    f"""WITH {G3_SQL}, m AS (SELECT max(k) + 1 n FROM g)
+SELECT CASE WHEN i < 2 THEN -1 WHEN i >= 14 THEN 1 ELSE 0 END a, CASE WHEN j < 2 THEN -1 WHEN j >= 14 THEN 1 ELSE 0 END b,
+CASE WHEN k < 1 THEN -1 WHEN k >= n - 1 THEN 1 ELSE 0 END c, count(*) AS cells FROM g, m GROUP BY ALL""",
+)
+def _region_sizes(s, d):
+    side = lambda x, depth, size: F.when(F.col(x) < depth, -1).when(F.col(x) >= size - depth, 1).otherwise(0)
+    keys = [side("i", 2, 16).alias("a"), side("j", 2, 16).alias("b"), side("k", 1, planes(s, d)).alias("c")]
+    return g3(s, d).groupBy(*keys).agg(F.count("*").alias("cells"))
+
+
 _OWNER = "CASE WHEN {z} < 4 * 13 THEN {z} // 13 ELSE 4 + ({z} - 4 * 13) // 12 END"
-query("section_owner", f"WITH s AS (SELECT range sub_id FROM range(64)), r AS (SELECT sub_id, {_OWNER.format(z='sub_id')} AS rank FROM s) SELECT sub_id, CAST(rank AS INT) AS rank, CAST(row_number() OVER (PARTITION BY rank ORDER BY sub_id) - 1 AS INT) AS local_idx FROM r")(lambda s, d: op.section_owner(s.range(64).withColumnRenamed("id", "sub_id"), 64, 5))
+query(
+    "section_owner",
+    f"""WITH s AS (SELECT range sub_id FROM range(64)), r AS (SELECT sub_id, {_OWNER.format(z='sub_id')} AS rank FROM s)
+SELECT sub_id, CAST(rank AS INT) AS rank, CAST(row_number() OVER (PARTITION BY rank ORDER BY sub_id) - 1 AS INT) AS local_idx FROM r""",
+)(lambda s, d: op.section_owner(s.range(64).withColumnRenamed("id", "sub_id"), 64, 5))
 _AX = lambda n: f"((z>>{n})&1) + 2*((z>>{n + 3})&1)"
 _ENC = "((x&1) | ((y&1)<<1) | ((w&1)<<2) | ((x>>1)<<3) | ((y>>1)<<4) | ((w>>1)<<5))"
-query("neighbor_owner", f"WITH z AS (SELECT range z FROM range(64)), n AS (SELECT z, d, ({_AX(0)} + d%3 + 3) % 4 x, ({_AX(1)} + (d//3)%3 + 3) % 4 y, ({_AX(2)} + d//9 + 3) % 4 w FROM z CROSS JOIN range(27) t(d)), e AS (SELECT z, d, {_ENC} m FROM n) SELECT z AS sub_id, CAST(d AS INT) AS dir, m AS neighbor, CAST({_OWNER.format(z='m')} AS INT) AS rank FROM e")(lambda s, d: op.neighbor_owner(s, 4, 5))
-
-_HALO = f"WITH {G3_SQL}, m AS (SELECT max(k) + 1 n FROM g), t AS (SELECT range - 2 a FROM range(20)), u AS (SELECT range - 2 a FROM range((SELECT n + 4 FROM m))) SELECT x.a i, y.a j, z.a k, g.v FROM t x CROSS JOIN t y CROSS JOIN u z CROSS JOIN m JOIN g ON g.i = (x.a + 16) % 16 AND g.j = (y.a + 16) % 16 AND g.k = (z.a + n) % n"
+query(
+    "neighbor_owner",
+    f"""WITH z AS (SELECT range z FROM range(64)),
+n AS (SELECT z, d, ({_AX(0)} + d%3 + 3) % 4 x, ({_AX(1)} + (d//3)%3 + 3) % 4 y, ({_AX(2)} + d//9 + 3) % 4 w FROM z CROSS JOIN range(27) t(d)),
+e AS (SELECT z, d, {_ENC} m FROM n)
+SELECT z AS sub_id, CAST(d AS INT) AS dir, m AS neighbor, CAST({_OWNER.format(z='m')} AS INT) AS rank FROM e""",
+)(lambda s, d: op.neighbor_owner(s, 4, 5))
+
+_HALO = f"""WITH {G3_SQL}, m AS (SELECT max(k) + 1 n FROM g), t AS (SELECT range - 2 a FROM range(20)), u AS (SELECT range - 2 a FROM range((SELECT n + 4 FROM m)))
+SELECT x.a i, y.a j, z.a k, g.v FROM t x CROSS JOIN t y CROSS JOIN u z CROSS JOIN m JOIN g ON g.i = (x.a + 16) % 16 AND g.j = (y.a + 16) % 16 AND g.k = (z.a + n) % n"""
 query("halo_put", _HALO)(lambda s, d: op.halo_put(g3(s, d), A3, [16, 16, planes(s, d)], 2))
 query("halo_shift", _HALO)(lambda s, d: op.halo_shift(g3(s, d), A3, [16, 16, planes(s, d)], 2))
 query("pack_region", f"WITH {G3_SQL} SELECT i, j, k, v FROM g WHERE i >= 14 AND j < 2")(lambda s, d: g3(s, d).where(op.section(A3, [16, 16, planes(s, d)], 2, (1, -2), inner=False)))
-query("interior_cells", f"WITH {G3_SQL} SELECT i, j, k, v FROM g WHERE i BETWEEN 2 AND 13 AND j BETWEEN 2 AND 13")(lambda s, d: g3(s, d).where("i BETWEEN 2 AND 13 AND j BETWEEN 2 AND 13"))
+query("interior_cells", f"WITH {G3_SQL} SELECT i, j, k, v FROM g WHERE i BETWEEN 2 AND 13 AND j BETWEEN 2 AND 13")(lambda s, d: op.interior(g3(s, d), A3, [16, 16, None], 2))
 
 _CMP = f"WITH {G3_SQL}, x AS (SELECT i, j, k, CAST(v AS DOUBLE) a, CAST(CASE WHEN v % 97 = 0 THEN v + 1 ELSE v END AS DOUBLE) b FROM g), y AS (SELECT *, coalesce(abs(a-b) < 1e-6 OR abs(a-b) < (abs(a)+abs(b))*1e-6, false) c FROM x)"
 
@@ -307,7 +356,12 @@ def _two(s, d):
 
 query("tolerance_compare", _CMP + " SELECT bool_and(c) AS same, count(*) AS cells, count(*) FILTER (NOT c) AS wrong FROM y")(lambda s, d: _two(s, d).agg(F.every("close").alias("same"), F.count("*").alias("cells"), F.count_if(~F.col("close")).alias("wrong")))
 query("mismatch_list", _CMP + " SELECT i, j, k, a, b FROM y WHERE NOT c")(lambda s, d: _two(s, d).where(~F.col("close")).select("i", "j", "k", "a", "b"))
-query("rank_stats", f"WITH {G3_SQL} SELECT k AS rank, CAST(min(v) AS DOUBLE) AS min, round(avg(v), 6) AS avg, CAST(max(v) AS DOUBLE) AS max, round(stddev_samp(v), 4) AS sigma FROM g GROUP BY k")(lambda s, d: op.stats(g3(s, d).withColumn("v", F.col("v").cast("double")).withColumnRenamed("k", "rank"), "v", ["rank"]).select("rank", "min", F.round("avg", 6).alias("avg"), "max", F.round("sigma", 4).alias("sigma")))
+@query("rank_stats", f"WITH {G3_SQL} SELECT k AS rank, CAST(min(v) AS DOUBLE) AS min, round(avg(v), 6) AS avg, CAST(max(v) AS DOUBLE) AS max, round(coalesce(stddev_samp(v), 0), 4) AS sigma FROM g GROUP BY k")
+def _rank_stats(s, d):
+    found = op.stats(g3(s, d).withColumn("v", F.col("v").cast("double")).withColumnRenamed("k", "rank"), "v", ["rank"])
+    return found.select("rank", "min", F.round("avg", 6).alias("avg"), "max", F.round("sigma", 4).alias("sigma"))
+
+
 query("zero_grid", "SELECT a.range i, b.range j, c.range k, 0.0::DOUBLE v FROM range(16) a, range(16) b, range(16) c")(lambda s, d: cells(s, [16, 16, 16], 0.0))
 query("random_grid", "WITH x AS (SELECT range id FROM range(4096)) SELECT id%16 i, (id//16)%16 j, id//256 k, ('0x' || substr(md5('42:' || id), 1, 13))::BIGINT / 4503599627370496.0 v FROM x")(lambda s, d: random_cells(s, [16, 16, 16]))
 query("copy_grid", f"WITH {G3_SQL} SELECT i, j, k, v AS out FROM g")(lambda s, d: apply(g3(s, d), A3, {"out": V}))
@@ -316,7 +370,12 @@ query("copy_grid", f"WITH {G3_SQL} SELECT i, j, k, v AS out FROM g")(lambda s, d
 _METRICS = "(1, 262144, 0.5, 0.05, 0.02, 0.03, 1048576), (2, 16777216, 1.25, 0.25, 0.125, 0.0, 33554432)"
 
 
-@query("derived_metrics", f"SELECT *, elements * 1e-9 / (calc + pack + call + wait) AS gstencil_s, bytes * 1e-9 / (call + wait) AS gb_s, bytes * 1e-6 AS mb FROM (SELECT step, elements::BIGINT elements, calc::DOUBLE calc, pack::DOUBLE pack, call::DOUBLE call, wait::DOUBLE wait, bytes::BIGINT bytes FROM (VALUES {_METRICS}) t(step, elements, calc, pack, call, wait, bytes))")
+@query(
+    "derived_metrics",
+    f"""WITH t(step, elements, calc, pack, call, wait, bytes) AS (VALUES {_METRICS}),
+c AS (SELECT step, elements::BIGINT elements, calc::DOUBLE calc, pack::DOUBLE pack, call::DOUBLE call, wait::DOUBLE wait, bytes::BIGINT bytes FROM t)
+SELECT *, elements * 1e-9 / (calc + pack + call + wait) AS gstencil_s, bytes * 1e-9 / (call + wait) AS gb_s, bytes * 1e-6 AS mb FROM c""",
+)
 def _derived(s, d):
     rows = [(1, 262144, 0.5, 0.05, 0.02, 0.03, 1048576), (2, 16777216, 1.25, 0.25, 0.125, 0.0, 33554432)]
     return op.derived_metrics(s.createDataFrame(rows, "step int, elements long, calc double, pack double, call double, wait double, bytes long"))
