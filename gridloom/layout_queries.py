@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from .functions import direction_parse, direction_text, flip, holds, is_superset
 from .operators import decomposition as dec
 from .plans import apply
 from .queries import A3, G3_SQL, g3, planes, query
-from .sources import cells, coefficients, load_stencil, read_cells, write_cells
+from .sources import cells, coefficients, load_stencil, read_cells, shared_folder, write_cells
 from .stencils import AXES3
 
 # ---------------------------------------------------------------- arrays and blocks
@@ -59,8 +60,7 @@ FROM s c CROSS JOIN d JOIN s n ON n.x = c.x + dir%3 - 1 AND n.y = c.y + (dir//3)
 @query("sink_roundtrip", f"WITH {G3_SQL} SELECT i, j, k, v FROM g")
 def _sink(s, d):
     """Written in Morton order to the shared folder, and read again."""
-    folder = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/gridloom"
-    path = f"{folder.rstrip('/')}/cells-{os.getpid()}-{abs(hash(d)) % 10**8}"
+    path = f"{shared_folder(s)}/cells-{uuid.uuid4().hex[:12]}"
     write_cells(g3(s, d), A3, path, 4)
     return read_cells(s, path)
 

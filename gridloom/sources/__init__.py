@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,14 @@ def coefficients(n: int = 129, seed: int = 11) -> list[float]:
     return [int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) / float(1 << 52) for i in range(n)]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where all tasks run in the driver's process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or f"file://{tempfile.mkdtemp(prefix='gridloom-')}").rstrip("/")
+
+
 def write_cells(cells: DataFrame, axes: list[str], path: str, edge: int = 16, bits: int = 16) -> None:
     """Cells as Parquet, dealt and sorted by the Morton code of their block, so files and row groups hold compact boxes."""
     z = morton([F.pmod(F.floor(F.col(a) / edge), F.lit(1 << bits)) for a in axes], bits)
