@@ -42,6 +42,24 @@ def fresh(df: DataFrame, name: str) -> str:
 
 RELEASE_SECONDS = 2.0
 _released = [-1e9]
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_made() -> int:
+    """How many scratch folders this process has made."""
+    return len(_made)
+
+
+def discard_scratch(spark: SparkSession, since: int) -> None:
+    """Deletes the scratch folders made since; for when what was computed from them has been written."""
+    for root in _made[since:]:
+        _delete(spark, root)
+    del _made[since:]
 
 
 class Scratch:
@@ -49,6 +67,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _made.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -68,10 +87,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that no step will read again."""
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(name))
 
 
 #: Rows and bytes of values that a broadcast may hold; as a hash table of longs about 40 MB on each executor.
