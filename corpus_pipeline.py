@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, mixing, ngram_join, pii, toxicity
-from gridloom.llm.common import Scratch, fresh
+from gridloom.llm.common import Scratch, discard_scratch, fresh, scratch_made
 
 TOXIC_FROM = 0.7
 ORACLE_SQL = None
@@ -54,9 +54,14 @@ STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's rows written as Parquet and read again as the next one's."""
-    scratch = Scratch(spark, "pipeline")
+    """The stages over documents, each one's rows written as Parquet and read again as the next one's; what a stage leaves goes then."""
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        since = scratch_made()
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        discard_scratch(spark, since)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
