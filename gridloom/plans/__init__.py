@@ -84,6 +84,9 @@ def by_gather(cells: DataFrame, axes: list[str], outputs: dict[str, Expr], param
     """Each cell sends its values to every cell that reads it; a target's row has a column for each read. One shuffle, combined before
     it by hash aggregation: neighbours that lie in one task meet there, so little more than a row for each cell is shuffled."""
     full, low = _fields(cells, axes, outputs)
+    if not any(r.offsets for r in full):  # nothing comes from other cells
+        df, names = _operands(cells, axes, low, operands, boundary, extents)
+        return _finish(df, axes, outputs, params or {}, names, boundary, c_int_division)
     slots = {(): 0}
     for r in full:
         slots.setdefault(r.offsets, len(slots))
@@ -214,7 +217,7 @@ def choose(outputs: dict[str, Expr], params: dict, axes: list[str], steps: int =
     if weights is not None and wide and extents and boundary != "interior":
         return "blocks"
     whole = weights is not None and all(isinstance(w, int) for w in weights.values())
-    return "scatter" if exact and whole and not wide else "gather"
+    return "scatter" if exact and whole and not wide and radius(*outputs.values()) else "gather"
 
 
 def apply(
