@@ -185,6 +185,13 @@ def _filter(shared: DataFrame):
     return shared.sparkSession.sparkContext.broadcast(bitmap)
 
 
+def in_pieces(batches, rows: int = 1024) -> Iterator:
+    """Batches of at most so many rows, none empty: what a task holds of their lists beside a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _likely(shared):
     """Rows (class, side, need, signature) of the signatures that the bitmap holds."""
 
@@ -192,7 +199,7 @@ def _likely(shared):
         import pyarrow as pa
 
         bitmap = shared.value
-        for batch in batches:
+        for batch in in_pieces(batches):
             lists = batch.column("signatures")
             n = lists.value_lengths().to_numpy(zero_copy_only=False)
             sig = lists.flatten().to_numpy(zero_copy_only=False)
@@ -370,9 +377,7 @@ def _verify_stars(num: int, den: int):
         import pyarrow as pa
 
         star, centre = None, np.zeros(0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_pieces(batches):
             stars, own, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("star", "own", "class"))
             tokens = batch.column("tokens")
             n = tokens.value_lengths().to_numpy()
